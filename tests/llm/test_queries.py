@@ -260,3 +260,10 @@ def test_null_ids_do_not_fail(spark, tmp_path):
         assert n == (0 if name == "op9_topk" else 4), name
     kinds = queries.op2_warc(spark, str(tmp_path)).groupBy("record_type").agg(F.count(F.lit(1))).collect()
     assert dict(map(tuple, kinds)) == {"response": 1, "revisit": 3}
+
+
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_against_sql(spark, name):
+    from tests.oracle import compare
+
+    assert compare(spark, SF, queries.QUERIES[name], queries.ORACLE_SQL[name]) == []
