@@ -10,8 +10,10 @@ each to the least node of its key loses no link and makes no pairs.
 `near_texts`: texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more. Equal texts
 are one node. SimHash over words, 64 bits x 6, weighted by word length, changes little under edits of a
 few words; the parts of all six find candidates, a Hamming bound thins them out, and the shingle sets
-decide. In buckets of more than CAP nodes each node is compared with PIVOTS of them first; then every
-node that is not yet connected with the bucket's first pivot is compared with the whole bucket.
+decide. In buckets of more than NEAR_CAP nodes each node is compared with PIVOTS of them first, those whose
+buckets are largest over all parts: what many texts are edited from shares more buckets than any edit of
+it. Then every node that is not yet connected with the bucket's first pivot is compared with the whole
+bucket, so no link between groups is lost.
 
 Defined results: null text is empty; texts without a word have fingerprint zero and are linked like any
 other; repeated rows are equal texts; null ids get a fingerprint, a null component_id unless their
@@ -33,9 +35,9 @@ from ledgerloom.llm.components import components
 from ledgerloom.storage import cut
 
 SHINGLE, RADIUS, SEED, CAP = 3, 2, 42, 64
-NEAR_SHINGLE, SIMILARITY, PIVOTS, NEAR_WORDS = 5, 0.8, 8, 6
+NEAR_SHINGLE, SIMILARITY, NEAR_CAP, PIVOTS, NEAR_WORDS = 5, 0.8, 8, 2, 6
 #: Bits of 384 in which texts of the asked similarity may differ; their mean is near 26, that of others near 190.
-NEAR_BITS = 80
+NEAR_BITS = 60
 HOT_SHARE = 1000
 
 
@@ -77,7 +79,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, id_column: str = "doc_id"
 def _buckets(indexed: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
     """(part, key) of buckets with 2 to cap rows, and of larger ones."""
     sizes = cut(indexed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    return sizes.where(F.col("n") <= cap).drop("n"), sizes.where(F.col("n") > cap).drop("n")
+    return sizes.where(F.col("n") <= cap).drop("n"), sizes.where(F.col("n") > cap)
 
 
 def _star_links(nodes: DataFrame) -> DataFrame:
@@ -107,7 +109,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
     left, right = probing.select("part", "key", F.col("id").alias("a"), F.col("fp").alias("fa")), own.select("part", "key", F.col("id").alias("b"), F.col("fp").alias("fb"))
     near = (left["part"] == right["part"]) & (left["key"] == right["key"]) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius)
     found = left.join(right, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crowded = indexed.join(large, ["part", "key"]).select("id", "fp").distinct()
+    crowded = indexed.join(large.drop("n"), ["part", "key"]).select("id", "fp").distinct()
     stars = _star_links(crowded)
     if radius == 1:  # sharing a key is within two bits, so each is held against the node that it shares it with
         fps = nodes.select(F.col("id").alias("n"), "fp")
@@ -194,7 +196,7 @@ def _jaccard(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: str
 
 
 def near_texts(
-    docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY, words: int = NEAR_WORDS, near_bits: int = NEAR_BITS, cap: int = CAP, pivots: int = PIVOTS, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY, words: int = NEAR_WORDS, near_bits: int = NEAR_BITS, cap: int = NEAR_CAP, pivots: int = PIVOTS, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """(id, digest, component_id) for every row with an id; digest is the MD5 of the text, component_id the least id of its group."""
     names = [f"w{k}" for k in range(words)]
@@ -212,8 +214,9 @@ def near_texts(
 
     few = cut(indexed.join(small, ["part", "key"]), "few")
     many = cut(indexed.join(large, ["part", "key"]), "many")
-    order = Window.partitionBy("part", "key").orderBy(F.xxhash64("part", "id"), "id")
-    first = cut(many.withColumn("at", F.row_number().over(order)).where(F.col("at") <= pivots), "pivots")
+    shared = many.groupBy("id").agg(F.sum("n").alias("popular"))
+    order = Window.partitionBy("part", "key").orderBy(F.col("popular").desc(), "id")
+    first = cut(many.join(shared, "id").withColumn("at", F.row_number().over(order)).where(F.col("at") <= pivots), "pivots")
     found = cut(pairs(few, few, F.col("a") < F.col("b")).union(pairs(many, first.drop("at"), F.col("a") != F.col("b"))).distinct(), "candidates")
     joined = cut(_jaccard(found, docs, id_column, text_column, size).where(F.col("similarity") >= similarity), "links")
     groups = cut(components(joined.select("a", "b")), "groups")
