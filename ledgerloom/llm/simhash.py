@@ -12,8 +12,10 @@ are one node. SimHash over words, 64 bits x 6, weighted by word length, changes
 few words; the parts of all six find candidates, a Hamming bound thins them out, and the shingle sets
 decide. In buckets of more than NEAR_CAP nodes each node is compared with PIVOTS of them first, those whose
 buckets are largest over all parts: what many texts are edited from shares more buckets than any edit of
-it. Then every node that is not yet connected with the bucket's first pivot is compared with the whole
-bucket, so no link between groups is lost.
+it. Then every node that is not yet connected with the bucket's first pivot is compared with all nodes of
+the bucket in other groups, so no link between groups is lost. Pairs that are too far apart are left out
+before their sets are compared: each set has a sketch, the parities of how many of its shingles fall on
+each of 512 places. Sketches never differ in more places than the sets in shingles, so no link is lost.
 
 Defined results: null text is empty; texts without a word have fingerprint zero and are linked like any
 other; repeated rows are equal texts; null ids get a fingerprint, a null component_id unless their
@@ -39,6 +41,8 @@ NEAR_SHINGLE, SIMILARITY, NEAR_CAP, PIVOTS, NEAR_WORDS = 5, 0.8, 8, 2, 6
 #: Bits of 384 in which texts of the asked similarity may differ; their mean is near 26, that of others near 190.
 NEAR_BITS = 60
 HOT_SHARE = 1000
+#: Longs of a sketch of parities.
+SKETCH = 8
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -162,22 +166,35 @@ def shingle_set(text: bytes, size: int = NEAR_SHINGLE) -> np.ndarray:
     return np.array(sorted({xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, size)}), np.uint64).view(np.int64)
 
 
-def _signatures(docs: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
-    names = [f"w{k}" for k in range(words)]
+def parities(shingle_hashes: np.ndarray) -> np.ndarray:
+    """SKETCH signed longs: for each place, whether an odd number of the hashes falls on it."""
+    counts = np.bincount((shingle_hashes & (64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8").astype(np.int64)
+
+
+def _signatures(docs: DataFrame, id_column: str, text_column: str, words: int, size: int) -> DataFrame:
+    """(id, digest, n, w0, ..., s0, ...): the number of distinct shingles, the SimHash and the sketch."""
+    names = [*(f"w{k}" for k in range(words)), *(f"s{k}" for k in range(SKETCH))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "b"):
-                found = np.array([word_signature(t or b"", words) for t in batch.column("b").to_pylist()], np.int64).reshape(-1, words)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(words))], ["id", "digest", *names])
+                counts, found = [], []
+                for text in batch.column("b").to_pylist():
+                    own = shingle_set(text or b"", size)
+                    counts.append(len(own))
+                    found.append(np.concatenate([word_signature(text or b"", words), parities(own)]))
+                found = np.array(found, np.int64).reshape(-1, len(names))
+                columns = [pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(counts, pa.int32()), *columns], ["id", "digest", "n", *names])
 
     text = F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))
     plain = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.md5(text).alias("digest"), text.alias("b"))
-    return plain.mapInArrow(run, ", ".join(["id long, digest string", *(f"{n} long" for n in names)]))
+    return plain.mapInArrow(run, ", ".join(["id long, digest string, n int", *(f"{n} long" for n in names)]))
 
 
-def _jaccard(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: str, size: int) -> DataFrame:
-    """pairs (a, b) with the Jaccard similarity of their shingle sets; texts are read for ids in pairs only."""
+def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str, text_column: str, size: int) -> DataFrame:
+    """(id, set): the shingles of the nodes asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -186,9 +203,14 @@ def _jaccard(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: str
                 ends = pa.array(np.cumsum([0, *map(len, sets)], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["id", "set"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("b")).join(asked, "id", "left_semi")
-    sets = cut(texts.mapInArrow(run, "id long, set array<long>").groupBy("id").agg(F.min("set").alias("set")), "shingle-sets")
+    text = F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))
+    wanted = nodes.join(asked, "id", "left_semi").select("id", "digest")
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.md5(text).alias("digest"), text.alias("b")).join(wanted, ["id", "digest"], "left_semi")
+    return texts.select("id", "b").mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"])
+
+
+def _jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, similarity): the Jaccard similarity of the shingle sets of pairs (a, b)."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - shared
@@ -199,36 +221,47 @@ def near_texts(
     docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY, words: int = NEAR_WORDS, near_bits: int = NEAR_BITS, cap: int = NEAR_CAP, pivots: int = PIVOTS, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """(id, digest, component_id) for every row with an id; digest is the MD5 of the text, component_id the least id of its group."""
-    names = [f"w{k}" for k in range(words)]
-    rows = cut(_signatures(docs, id_column, text_column, words), "signatures")
-    nodes = cut(rows.groupBy("digest").agg(F.min(F.struct("id", *names)).alias("x")).select("digest", "x.*"), "texts")
+    names, sketch = [f"w{k}" for k in range(words)], [f"s{k}" for k in range(SKETCH)]
+    rows = cut(_signatures(docs, id_column, text_column, words, size), "signatures")
+    nodes = cut(rows.groupBy("digest").agg(F.min(F.struct("id", "n", *names, *sketch)).alias("x")).select("digest", "x.*"), "texts")
     parts = gph.plan(*gph.bit_counts(nodes, names), 3 * words - 2, range(3, 4))
-    indexed = gph.index(nodes.select("id", *names), names, parts)
+    indexed = gph.index(nodes, names, parts)
     small, large = _buckets(indexed, cap)
-    side = lambda df, k: df.select("part", "key", F.col("id").alias(k), *(F.col(n).alias(f"{k}_{n}") for n in names))
-    near = gph.distance([F.col(f"a_{n}") for n in names], [F.col(f"b_{n}") for n in names]) <= near_bits
+    between = lambda columns: gph.distance([F.col(f"a_{n}") for n in columns], [F.col(f"b_{n}") for n in columns])
+    # Sets of this similarity differ in no more shingles than that.
+    possible = between(sketch) * (1 + similarity) <= (F.col("a_n") + F.col("b_n")) * (1 - similarity) + 1e-6
+
+    def pairs(left: DataFrame, right: DataFrame, columns: list[str], when) -> DataFrame:
+        x, y = (df.select("part", "key", *(F.col(n).alias(f"{k}_{n}") for n in ("id", *columns, *names))) for df, k in ((left, "a"), (right, "b")))
+        met = (x["part"] == y["part"]) & (x["key"] == y["key"]) & when & (between(names) <= near_bits)
+        return x.join(y, met).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
-    def pairs(left: DataFrame, right: DataFrame, when) -> DataFrame:
-        x, y = side(left, "a"), side(right, "b")
-        return x.join(y, (x["part"] == y["part"]) & (x["key"] == y["key"]) & when & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    def linked(candidates: DataFrame) -> DataFrame:
+        asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = cut(_sets(asked, nodes, docs, id_column, text_column, size), "shingle-sets")
+        return cut(_jaccard(candidates, sets).where(F.col("similarity") >= similarity).select("a", "b"), "links")
 
     few = cut(indexed.join(small, ["part", "key"]), "few")
-    many = cut(indexed.join(large, ["part", "key"]), "many")
-    shared = many.groupBy("id").agg(F.sum("n").alias("popular"))
+    crowded = cut(indexed.join(large.withColumnRenamed("n", "rows"), ["part", "key"]), "crowded")
+    crowd = crowded.groupBy("id").agg(F.sum("rows").alias("popular"))
+    many = cut(crowded.join(nodes.select("id", "n", *sketch).join(crowd, "id"), "id"), "many")
     order = Window.partitionBy("part", "key").orderBy(F.col("popular").desc(), "id")
-    first = cut(many.join(shared, "id").withColumn("at", F.row_number().over(order)).where(F.col("at") <= pivots), "pivots")
-    found = cut(pairs(few, few, F.col("a") < F.col("b")).union(pairs(many, first.drop("at"), F.col("a") != F.col("b"))).distinct(), "candidates")
-    joined = cut(_jaccard(found, docs, id_column, text_column, size).where(F.col("similarity") >= similarity), "links")
-    groups = cut(components(joined.select("a", "b")), "groups")
+    first = cut(many.withColumn("at", F.row_number().over(order)).where(F.col("at") <= pivots), "pivots")
+    loose = pairs(few, few, [], F.col("a_id") < F.col("b_id"))
+    for k in ("a", "b"):
+        loose = loose.join(nodes.select(F.col("id").alias(k), *(F.col(n).alias(f"{k}_{n}") for n in ("n", *sketch))), k)
+    held = pairs(many, first, ["n", *sketch], (F.col("a_id") != F.col("b_id")) & possible)
+    found = cut(loose.where(possible).select("a", "b").union(held).distinct(), "candidates")
+    joined = linked(found)
+    groups = cut(components(joined), "groups")
     # What the pivots left apart: nodes of large buckets in another group than the first pivot's.
-    group = groups.select(F.col("node").alias("id"), F.col("component").alias("group"))
-    grouped = many.join(group, "id", "left").withColumn("group", F.coalesce("group", "id"))
-    heads = first.where("at = 1").join(group, "id", "left").select("part", "key", F.coalesce("group", "id").alias("head"))
-    apart = grouped.join(heads, ["part", "key"]).where("group <> head").drop("head", "group")
-    more = cut(pairs(apart, many, F.col("a") != F.col("b")).distinct().join(found, ["a", "b"], "left_anti"), "candidates")
+    group = groups.select(F.col("node").alias("id"), F.col("component").alias("g"))
+    grouped = many.join(group, "id", "left").withColumn("group", F.coalesce("g", "id")).drop("g")
+    heads = first.where("at = 1").select("part", "key", "id").join(group, "id", "left").select("part", "key", F.coalesce("g", "id").alias("head"))
+    apart = grouped.join(heads, ["part", "key"]).where(F.col("group") != F.col("head")).drop("head")
+    more = cut(pairs(apart, grouped, ["group", "n", *sketch], (F.col("a_group") != F.col("b_group")) & possible).join(found, ["a", "b"], "left_anti"), "candidates")
     if more.head(1):
-        again = _jaccard(more, docs, id_column, text_column, size).where(F.col("similarity") >= similarity)
-        groups = cut(components(joined.select("a", "b").union(again.select("a", "b"))), "groups")
+        groups = cut(components(joined.union(linked(more))), "groups")
     labelled = nodes.select("id", "digest").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     return rows.select("id", "digest").join(labelled, "digest").select(F.col("id").alias(id_column), "digest", "component_id")
 
