@@ -237,8 +237,6 @@ def near_texts(
         return x.join(y, met).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
     def linked(candidates: DataFrame) -> DataFrame:
-        asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = cut(_sets(asked, nodes, docs, id_column, text_column, size), "shingle-sets")
         return cut(_jaccard(candidates, sets).where(F.col("similarity") >= similarity).select("a", "b"), "links")
 
     few = cut(indexed.join(small, ["part", "key"]), "few")
@@ -252,6 +250,9 @@ def near_texts(
         loose = loose.join(nodes.select(F.col("id").alias(k), *(F.col(n).alias(f"{k}_{n}") for n in ("n", *sketch))), k)
     held = pairs(many, first, ["n", *sketch], (F.col("a_id") != F.col("b_id")) & possible)
     found = cut(loose.where(possible).select("a", "b").union(held).distinct(), "candidates")
+    # The sets of all that either comparison can ask for, so that texts are exchanged once.
+    asked = found.select(F.explode(F.array("a", "b")).alias("id")).union(many.select("id")).distinct()
+    sets = cut(_sets(asked, nodes, docs, id_column, text_column, size), "shingle-sets")
     joined = linked(found)
     groups = cut(components(joined), "groups")
     # What the pivots left apart: nodes of large buckets in another group than the first pivot's.
