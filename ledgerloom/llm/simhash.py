@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import gph
+from ledgerloom.llm.bloom import Bloom
 from ledgerloom.llm.bpe import slices
 from ledgerloom.llm.components import components
 from ledgerloom.storage import cut
@@ -204,9 +205,10 @@ def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str, t
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["id", "set"])
 
     text = F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))
-    wanted = nodes.join(asked, "id", "left_semi").select("id", "digest")
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.md5(text).alias("digest"), text.alias("b")).join(wanted, ["id", "digest"], "left_semi")
-    return texts.select("id", "b").mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"])
+    wanted = cut(nodes.join(asked, "id", "left_semi").groupBy("id").agg(F.min("digest").alias("digest")), "wanted")
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.md5(text).alias("digest"), text.alias("b"))
+    texts = texts.where(Bloom(wanted, ["id", "digest"]).may_hold("id", "digest")).join(wanted, ["id", "digest"], "left_semi")
+    return texts.dropDuplicates(["id", "digest"]).select("id", "b").mapInArrow(run, "id long, set array<long>")
 
 
 def _jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -270,13 +272,16 @@ def near_texts(
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
     """The documents without those that another of their group stands for; rows that are repeated stay once."""
     found = cut(near_texts(docs, id_column=id_column, text_column=text_column, **how), "near-texts")
-    gone = found.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("_id"), F.col("digest").alias("_digest")).distinct()
+    keys = found.select(F.col(id_column).alias("id"), "digest", (F.col(id_column) != F.col("component_id")).alias("gone"))
+    keys = keys.groupBy("id", "digest").agg(F.max("gone").alias("gone"), F.count(F.lit(1)).alias("n"))
+    touched = cut(keys.where("gone or n > 1"), "touched")
     digest = F.md5(F.coalesce(F.col(text_column).cast("binary"), F.lit(b"")))
-    kept = docs.withColumn("_d", digest)
-    kept = kept.join(gone, (kept[id_column] == gone["_id"]) & (kept["_d"] == gone["_digest"]), "left_anti")
-    again = found.groupBy(id_column, "digest").count().where("count > 1").select(F.col(id_column).alias("_id"), F.col("digest").alias("_digest"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_column).cast("long").alias("id"), digest.alias("digest"))
+    touch = Bloom(touched, ["id", "digest"]).may_hold("id", "digest")
+    near = rows.where(touch).join(touched.where("gone"), ["id", "digest"], "left_anti")
+    kept = rows.where(~touch)
+    again = touched.where("not gone").select("id", "digest")
     if again.head(1):
-        both = (kept[id_column] == again["_id"]) & (kept["_d"] == again["_digest"])
-        once = kept.join(again, both, "left_semi").dropDuplicates([id_column, "_d"])
-        kept = kept.join(again, both, "left_anti").unionByName(once)
-    return kept.drop("_d")
+        kept = kept.union(near.join(again, ["id", "digest"], "left_semi").select("row", "id", "digest").dropDuplicates(["id", "digest"]))
+        near = near.join(again, ["id", "digest"], "left_anti")
+    return kept.union(near.select("row", "id", "digest")).select("row.*")

@@ -43,3 +43,32 @@ def test_near_texts_against_brute_force(spark):
                 low, high = sorted((group[a], group[b]))
                 group = [low if g == high else g for g in group]
     assert found == dict(enumerate(group))
+
+
+def test_bloom_loses_no_key(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.llm.bloom import Bloom
+
+    keys = spark.range(0, 4000, 2).select("id", F.md5(F.col("id").cast("string")).alias("digest")).union(spark.createDataFrame([(None, None)], "id long, digest string"))
+    asked = spark.range(4000).select("id", F.md5(F.col("id").cast("string")).alias("digest")).union(spark.createDataFrame([(None, None)], "id long, digest string"))
+    found = asked.where(Bloom(keys, ["id", "digest"]).may_hold("id", "digest")).collect()
+    held = {r["id"] for r in found}
+    assert held >= {None, *range(0, 4000, 2)} and len(held) < 2100
+    full = asked.where(Bloom(keys, ["id", "digest"], most_bits=64).may_hold("id", "digest"))  # full, but never wrong
+    assert {r["id"] for r in full.collect()} >= {None, *range(0, 4000, 2)}
+    assert asked.where(Bloom(keys.where("false"), ["id", "digest"]).may_hold("id", "digest")).count() == 0
+
+
+def test_deduplicated_with_awkward_rows(spark):
+    from ledgerloom.llm import simhash
+
+    words = [f"word{k}" for k in range(200)]
+    base, near, other = " ".join(words), " ".join([*words[:199], "changed"]), " ".join(reversed(words))
+    rows = [(1, base), (2, near), (2, near), (3, base), (4, other), (4, other), (5, None), (6, ""), (None, base), (None, None)]
+    docs = spark.createDataFrame([(i, t, "x", 7, "y") for i, t in rows], "doc_id long, text string, row string, id int, digest string")
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, base), (4, other), (5, None), (None, base), (None, None)], key=str)
+    assert simhash.deduplicated(docs.where("false")).count() == 0
