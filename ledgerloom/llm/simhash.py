@@ -81,9 +81,14 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, id_column: str = "doc_id"
     return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("b")).mapInArrow(run, "id long, fp long")
 
 
+def _sizes(indexed: DataFrame) -> DataFrame:
+    """(part, key, n) of buckets with n rows, of more than one."""
+    return cut(indexed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+
+
 def _buckets(indexed: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
     """(part, key) of buckets with 2 to cap rows, and of larger ones."""
-    sizes = cut(indexed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    sizes = _sizes(indexed)
     return sizes.where(F.col("n") <= cap).drop("n"), sizes.where(F.col("n") > cap)
 
 
@@ -228,7 +233,9 @@ def near_texts(
     nodes = cut(rows.groupBy("digest").agg(F.min(F.struct("id", "n", *names, *sketch)).alias("x")).select("digest", "x.*"), "texts")
     parts = gph.plan(*gph.bit_counts(nodes, names), 3 * words - 2, range(3, 4))
     indexed = gph.index(nodes, names, parts)
-    small, large = _buckets(indexed, cap)
+    sizes = _sizes(indexed)
+    shared = indexed.where(Bloom(sizes, ["part", "key"]).may_hold("part", "key"))  # most entries are alone in their bucket
+    shared = cut(shared.join(sizes.withColumnRenamed("n", "rows"), ["part", "key"]), "shared-buckets")
     between = lambda columns: gph.distance([F.col(f"a_{n}") for n in columns], [F.col(f"b_{n}") for n in columns])
     # Sets of this similarity differ in no more shingles than that.
     possible = between(sketch) * (1 + similarity) <= (F.col("a_n") + F.col("b_n")) * (1 - similarity) + 1e-6
@@ -241,8 +248,7 @@ def near_texts(
     def linked(candidates: DataFrame) -> DataFrame:
         return cut(_jaccard(candidates, sets).where(F.col("similarity") >= similarity).select("a", "b"), "links")
 
-    few = cut(indexed.join(small, ["part", "key"]), "few")
-    crowded = cut(indexed.join(large.withColumnRenamed("n", "rows"), ["part", "key"]), "crowded")
+    few, crowded = shared.where(F.col("rows") <= cap), shared.where(F.col("rows") > cap)
     crowd = crowded.groupBy("id").agg(F.sum("rows").alias("popular"))
     many = cut(crowded.join(nodes.select("id", "n", *sketch).join(crowd, "id"), "id"), "many")
     order = Window.partitionBy("part", "key").orderBy(F.col("popular").desc(), "id")
