@@ -8,14 +8,16 @@ such a key, nodes that share one are within two bits, and no key has more than 6
 each to the least node of its key loses no link and makes no pairs.
 
 `near_texts`: texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more. Equal texts
-are one node. SimHash over words, 64 bits x 6, weighted by word length, changes little under edits of a
-few words; the parts of all six find candidates, a Hamming bound thins them out, and the shingle sets
-decide. In buckets of more than NEAR_CAP nodes each node is compared with PIVOTS of them first, those whose
-buckets are largest over all parts: what many texts are edited from shares more buckets than any edit of
+are one node. Candidates come from a prefix filter, which loses no pair: shingles are put into one order
+for all sets, and two similar sets share a shingle among the first n - ceil(0.8 n) + 1 of each. Any order
+is exact; shingles that are common in a bounded sample come last, so that prefixes hold rare ones. In
+buckets of more than NEAR_CAP nodes each node is compared with PIVOTS of them first, those whose
+buckets are largest over all of their prefix: what many texts are edited from shares more buckets than any edit of
 it. Then every node that is not yet connected with the bucket's first pivot is compared with all nodes of
 the bucket in other groups, so no link between groups is lost. Pairs that are too far apart are left out
-before their sets are compared: each set has a sketch, the parities of how many of its shingles fall on
-each of 512 places. Sketches never differ in more places than the sets in shingles, so no link is lost.
+before their sets are compared, by bounds that lose no link: where in the order the shared shingle stands,
+how many shingles the prefixes share, and sketches, the parities of how many of a set's shingles fall on
+each of 512 places, which never differ in more places than the sets in shingles.
 
 Defined results: null text is empty; texts without a word have fingerprint zero and are linked like any
 other; repeated rows are equal texts; null ids get a fingerprint, a null component_id unless their
@@ -24,6 +26,7 @@ fingerprint has an id, and are never dropped; an empty table stays empty.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +41,9 @@ from ledgerloom.llm.components import components
 from ledgerloom.storage import cut
 
 SHINGLE, RADIUS, SEED, CAP = 3, 2, 42, 64
-NEAR_SHINGLE, SIMILARITY, NEAR_CAP, PIVOTS, NEAR_WORDS = 5, 0.8, 8, 2, 6
-#: Bits of 384 in which texts of the asked similarity may differ; their mean is near 26, that of others near 190.
-NEAR_BITS = 60
+NEAR_SHINGLE, SIMILARITY, NEAR_CAP, PIVOTS = 5, 0.8, 8, 2
+#: Texts that are sampled for the order of shingles, and how many of the most common shingles are told apart.
+SAMPLE, COMMON = 16_384, 65_536
 HOT_SHARE = 1000
 #: Longs of a sketch of parities.
 SKETCH = 8
@@ -144,27 +147,6 @@ def fingerprint_links(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS
     return crowd.union(rest).withColumnRenamed("id", id_column)
 
 
-def word_signature(text: bytes, words: int = NEAR_WORDS) -> np.ndarray:
-    """`words` signed longs: SimHash of the distinct words, weighted by length."""
-    import xxhash
-
-    own = list(set(text.lower().split()))
-    if not own:
-        return np.zeros(words, np.int64)
-    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in own], np.uint64)
-    weights = np.minimum(np.array([len(w) for w in own], np.float32), 10) - np.float32(0.75)
-    total = np.zeros(64 * words, np.float32)
-    steps = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for low in range(0, len(h), 8192):
-        x = h[low : low + 8192, None] + steps
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x = np.ascontiguousarray(x ^ (x >> np.uint64(31)))
-        bits = np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").astype(np.float32)
-        total += weights[low : low + 8192] @ bits
-    return np.packbits(2 * total > weights.sum(), bitorder="little").view("<i8").astype(np.int64)
-
-
 def shingle_set(text: bytes, size: int = NEAR_SHINGLE) -> np.ndarray:
     """Hashes of the distinct shingles."""
     import xxhash
@@ -178,25 +160,60 @@ def parities(shingle_hashes: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8").astype(np.int64)
 
 
-def _signatures(docs: DataFrame, id_column: str, text_column: str, words: int, size: int) -> DataFrame:
-    """(id, digest, n, w0, ..., s0, ...): the number of distinct shingles, the SimHash and the sketch."""
-    names = [*(f"w{k}" for k in range(words)), *(f"s{k}" for k in range(SKETCH))]
+def prefix_size(n: int, similarity: float = SIMILARITY) -> int:
+    """How many of n shingles, in the common order, hold one of each set of this similarity; texts without a word have a key of their own."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def prefix(shingle_hashes: np.ndarray, common: np.ndarray, places: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first shingles in the order of all sets: by hash, then those of `common` (sorted) by their places."""
+    if not len(shingle_hashes):
+        return np.zeros(1, np.int64)
+    place = np.full(len(shingle_hashes), -1, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingle_hashes), len(common) - 1)
+        place = np.where(common[at] == shingle_hashes, places[at], place)
+    return shingle_hashes[np.lexsort((shingle_hashes, place))[: prefix_size(len(shingle_hashes), similarity)]]
+
+
+def _common(docs: DataFrame, text_column: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that repeat most among a sample of different texts, sorted, and their places from rare to common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "b"):
+                own = [shingle_set(t or b"", size) for t in batch.column("b").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], ["key"])
+
+    text = F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    drawn = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") < int(share * (1 << 32))
+    texts = docs.select(text.alias("b")).where(drawn).dropDuplicates(["b"])
+    counts = texts.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    found = counts.orderBy(F.col("n").desc(), "key").limit(COMMON).select("key").toPandas()["key"].to_numpy(np.int64)
+    order = np.argsort(found)
+    return found[order], len(found) - order
+
+
+def _signatures(docs: DataFrame, id_column: str, text_column: str, size: int, similarity: float) -> DataFrame:
+    """(id, digest, n, s0, ..., prefix): the number of distinct shingles, the sketch and the first shingles in the order."""
+    common, places = _common(docs, text_column, size)
+    names = [f"s{k}" for k in range(SKETCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "b"):
-                counts, found = [], []
-                for text in batch.column("b").to_pylist():
-                    own = shingle_set(text or b"", size)
-                    counts.append(len(own))
-                    found.append(np.concatenate([word_signature(text or b"", words), parities(own)]))
-                found = np.array(found, np.int64).reshape(-1, len(names))
-                columns = [pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(counts, pa.int32()), *columns], ["id", "digest", "n", *names])
+                own = [shingle_set(t or b"", size) for t in batch.column("b").to_pylist()]
+                found = np.array([parities(x) for x in own], np.int64).reshape(-1, SKETCH)
+                first = [prefix(x, common, places, similarity) for x in own]
+                columns = [pa.array(np.ascontiguousarray(found[:, k])) for k in range(SKETCH)]
+                ends = pa.array(np.cumsum([0, *map(len, first)], dtype=np.int32))
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array([len(x) for x in own], pa.int32()), *columns, lists], ["id", "digest", "n", *names, "prefix"])
 
     text = F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))
     plain = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.md5(text).alias("digest"), text.alias("b"))
-    return plain.mapInArrow(run, ", ".join(["id long, digest string, n int", *(f"{n} long" for n in names)]))
+    return plain.mapInArrow(run, ", ".join(["id long, digest string, n int", *(f"{n} long" for n in names), "prefix array<long>"]))
 
 
 def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str, text_column: str, size: int) -> DataFrame:
@@ -225,50 +242,59 @@ def _jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_texts(
-    docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY, words: int = NEAR_WORDS, near_bits: int = NEAR_BITS, cap: int = NEAR_CAP, pivots: int = PIVOTS, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY, cap: int = NEAR_CAP, pivots: int = PIVOTS, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """(id, digest, component_id) for every row with an id; digest is the MD5 of the text, component_id the least id of its group."""
-    names, sketch = [f"w{k}" for k in range(words)], [f"s{k}" for k in range(SKETCH)]
-    rows = cut(_signatures(docs, id_column, text_column, words, size), "signatures")
-    nodes = cut(rows.groupBy("digest").agg(F.min(F.struct("id", "n", *names, *sketch)).alias("x")).select("digest", "x.*"), "texts")
-    parts = gph.plan(*gph.bit_counts(nodes, names), 3 * words - 2, range(3, 4))
-    indexed = gph.index(nodes, names, parts)
-    sizes = _sizes(indexed)
-    shared = indexed.where(Bloom(sizes, ["part", "key"]).may_hold("part", "key"))  # most entries are alone in their bucket
-    shared = cut(shared.join(sizes.withColumnRenamed("n", "rows"), ["part", "key"]), "shared-buckets")
-    between = lambda columns: gph.distance([F.col(f"a_{n}") for n in columns], [F.col(f"b_{n}") for n in columns])
+    sketch = [f"s{k}" for k in range(SKETCH)]
+    rows = cut(_signatures(docs, id_column, text_column, size, similarity), "signatures")
+    nodes = cut(rows.groupBy("digest").agg(F.min(F.struct("id", "n", *sketch, "prefix")).alias("x")).select("digest", "x.*"), "texts")
+    indexed = nodes.select("id", "n", F.posexplode("prefix").alias("at", "key"))
+    sizes = cut(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
+    shared = indexed.where(Bloom(sizes, ["key"]).may_hold("key"))  # most entries are alone in their bucket
+    shared = cut(shared.join(sizes, "key"), "shared-buckets")
+    needed = similarity * (F.col("a_n") + F.col("b_n")) - 1e-6  # times 1 + similarity: how many shingles such sets share
+    # What sets can share if this is the first that they do.
+    ahead = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) * (1 + similarity) >= needed
+    apart_by = gph.distance([F.col(f"a_{n}") for n in sketch], [F.col(f"b_{n}") for n in sketch])
     # Sets of this similarity differ in no more shingles than that.
-    possible = between(sketch) * (1 + similarity) <= (F.col("a_n") + F.col("b_n")) * (1 - similarity) + 1e-6
+    possible = apart_by * (1 + similarity) <= (F.col("a_n") + F.col("b_n")) * (1 - similarity) + 1e-6
+
+    def met(left: DataFrame, right: DataFrame, columns: list[str], when) -> DataFrame:
+        x, y = (df.select("key", *(F.col(n).alias(f"{k}_{n}") for n in ("id", "n", "at", *columns))) for df, k in ((left, "a"), (right, "b")))
+        return x.join(y, (x["key"] == y["key"]) & when)
 
     def pairs(left: DataFrame, right: DataFrame, columns: list[str], when) -> DataFrame:
-        x, y = (df.select("part", "key", *(F.col(n).alias(f"{k}_{n}") for n in ("id", *columns, *names))) for df, k in ((left, "a"), (right, "b")))
-        met = (x["part"] == y["part"]) & (x["key"] == y["key"]) & when & (between(names) <= near_bits)
-        return x.join(y, met).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+        return met(left, right, columns, when & ahead).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
     def linked(candidates: DataFrame) -> DataFrame:
+        asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = cut(_sets(asked, nodes, docs, id_column, text_column, size), "shingle-sets")
         return cut(_jaccard(candidates, sets).where(F.col("similarity") >= similarity).select("a", "b"), "links")
 
     few, crowded = shared.where(F.col("rows") <= cap), shared.where(F.col("rows") > cap)
-    crowd = crowded.groupBy("id").agg(F.sum("rows").alias("popular"))
-    many = cut(crowded.join(nodes.select("id", "n", *sketch).join(crowd, "id"), "id"), "many")
-    order = Window.partitionBy("part", "key").orderBy(F.col("popular").desc(), "id")
-    first = cut(many.withColumn("at", F.row_number().over(order)).where(F.col("at") <= pivots), "pivots")
-    loose = pairs(few, few, [], F.col("a_id") < F.col("b_id"))
+    crowd = cut(crowded.groupBy("id").agg(F.sum("rows").alias("popular"), F.count(F.lit(1)).alias("places")), "crowds")
+    many = cut(crowded.join(nodes.select("id", *sketch).join(crowd.drop("places"), "id"), "id"), "many")
+    order = Window.partitionBy("key").orderBy(F.col("popular").desc(), "id")
+    first = cut(many.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots), "pivots")
+    # Beyond their prefixes two sets share less than the larger's share of the similarity, in crowded buckets no more than either is in.
+    alike = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity - 1e-6
+    together = met(few, few, [], (F.col("a_id") < F.col("b_id")) & alike).groupBy(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    loose = together.agg(F.count(F.lit(1)).alias("common"), F.max("a_n").alias("a_n"), F.max("b_n").alias("b_n"), F.max(ahead).alias("ahead")).where("ahead")
+    rest = F.ceil(F.greatest("a_n", "b_n") * similarity - 1e-9) - 1
     for k in ("a", "b"):
-        loose = loose.join(nodes.select(F.col("id").alias(k), *(F.col(n).alias(f"{k}_{n}") for n in ("n", *sketch))), k)
-    held = pairs(many, first, ["n", *sketch], (F.col("a_id") != F.col("b_id")) & possible)
-    found = cut(loose.where(possible).select("a", "b").union(held).distinct(), "candidates")
-    # The sets of all that either comparison can ask for, so that texts are exchanged once.
-    asked = found.select(F.explode(F.array("a", "b")).alias("id")).union(many.select("id")).distinct()
-    sets = cut(_sets(asked, nodes, docs, id_column, text_column, size), "shingle-sets")
+        own = nodes.join(crowd.select("id", "places"), "id", "left").select(F.col("id").alias(k), F.coalesce("places", F.lit(0)).alias(f"{k}_places"), *(F.col(n).alias(f"{k}_{n}") for n in sketch))
+        loose = loose.join(own, k)
+    shares = (F.col("common") + F.least("a_places", "b_places") + rest) * (1 + similarity) >= needed
+    held = pairs(many, first, sketch, (F.col("a_id") != F.col("b_id")) & possible)
+    found = cut(loose.where(shares & possible).select("a", "b").union(held).distinct(), "candidates")
     joined = linked(found)
     groups = cut(components(joined), "groups")
     # What the pivots left apart: nodes of large buckets in another group than the first pivot's.
     group = groups.select(F.col("node").alias("id"), F.col("component").alias("g"))
     grouped = many.join(group, "id", "left").withColumn("group", F.coalesce("g", "id")).drop("g")
-    heads = first.where("at = 1").select("part", "key", "id").join(group, "id", "left").select("part", "key", F.coalesce("g", "id").alias("head"))
-    apart = grouped.join(heads, ["part", "key"]).where(F.col("group") != F.col("head")).drop("head")
-    more = cut(pairs(apart, grouped, ["group", "n", *sketch], (F.col("a_group") != F.col("b_group")) & possible).join(found, ["a", "b"], "left_anti"), "candidates")
+    heads = first.where("place = 1").select("key", "id").join(group, "id", "left").select("key", F.coalesce("g", "id").alias("head"))
+    apart = grouped.join(heads, "key").where(F.col("group") != F.col("head")).drop("head")
+    more = cut(pairs(apart, grouped, ["group", *sketch], (F.col("a_group") != F.col("b_group")) & possible).join(found, ["a", "b"], "left_anti"), "candidates")
     if more.head(1):
         groups = cut(components(joined.union(linked(more))), "groups")
     labelled = nodes.select("id", "digest").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))

@@ -45,6 +45,27 @@ def test_near_texts_against_brute_force(spark):
     assert found == dict(enumerate(group))
 
 
+def share(a, b):
+    a, b = (set(simhash.shingle_set(t.encode()).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_shortened_and_appended_copies_are_all_found(spark):
+    rng = random.Random(3)
+    vocabulary, odds = [f"w{k}" for k in range(20_000)], [1 / k for k in range(1, 20_001)]
+    pairs = []
+    while len(pairs) < 240:  # no exact copies among them
+        base = rng.choices(vocabulary, odds, k=rng.choice([40, 150, 600]))
+        part = int(len(base) * rng.uniform(0.1, 0.2))
+        copy = (base[part:], base[:-part], base + rng.choices(vocabulary, odds, k=part))[len(pairs) % 3]
+        a, b = " ".join(base), " ".join(copy)
+        if share(a, b) >= 0.8:
+            pairs.append((a, b))
+    rows = [(2 * k + side, text) for k, pair in enumerate(pairs) for side, text in enumerate(pair)]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for k in range(len(pairs)) if found[2 * k] != found[2 * k + 1]] == []
+
+
 def test_bloom_loses_no_key(spark):
     from pyspark.sql import functions as F
 
