@@ -66,6 +66,18 @@ def test_shortened_and_appended_copies_are_all_found(spark):
     assert [k for k in range(len(pairs)) if found[2 * k] != found[2 * k + 1]] == []
 
 
+def test_copies_whose_words_differ_much_are_found(spark):
+    """The appended words are most of the distinct ones, so word signatures are far apart, but few of the shingles."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(6):
+        base = [f"t{k}x{rng.randrange(12)}" for _ in range(200)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + [f"appended{k}x{j}" for j in range(40)]))]
+    assert all(share(a, b) >= 0.8 for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i - i % 2 for i in range(12)}
+
+
 def test_bloom_loses_no_key(spark):
     from pyspark.sql import functions as F
 
