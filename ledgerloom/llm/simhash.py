@@ -135,9 +135,11 @@ def fingerprint_links(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS
     """(id, fp, component_id, copies): the least id that links reach, and how many rows share the fingerprint."""
     rows = cut(fingerprints(docs, size, id_column, text_column), "fingerprints")
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "nodes")
-    found = components(links(nodes.where("id is not null").select("id", "fp"), radius))
-    labelled = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", "copies", F.coalesce("component", "id").alias("component_id"))
-    labelled = cut(labelled, "labels")
+    # Nodes are known by their fingerprints, as different ones may share an id.
+    found = components(links(nodes.where("id is not null").select(F.col("fp").alias("id"), "fp"), radius))
+    grouped = cut(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")), "grouped")
+    least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
+    labelled = cut(grouped.join(least, "root").select("fp", "copies", "component_id"), "labels")
     # Fewer than HOT_SHARE fingerprints can have over 1 / HOT_SHARE of the rows; these go to every task.
     most = max(1, rows.count() // HOT_SHARE)
     hot = F.broadcast(labelled.where(F.col("copies") > most).select(F.col("fp").alias("hot_fp"), F.col("copies").alias("hot_copies"), F.col("component_id").alias("hot_id")))

@@ -105,3 +105,13 @@ def test_deduplicated_with_awkward_rows(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
     assert got == sorted([(1, base), (4, other), (5, None), (None, base), (None, None)], key=str)
     assert simhash.deduplicated(docs.where("false")).count() == 0
+
+
+def test_fingerprints_that_share_an_id_stay_apart(spark):
+    one, other = " ".join(f"one{k}" for k in range(50)), " ".join(f"other{k}" for k in range(50))
+    docs = spark.createDataFrame([(1, one), (5, one), (5, other), (7, other), (None, "no id here")], "doc_id long, text string")
+    found = simhash.fingerprint_links(docs).collect()
+    by_text = {one: simhash.fingerprint(one.encode()), other: simhash.fingerprint(other.encode())}
+    got = sorted((r["doc_id"], r["fp"], r["component_id"]) for r in found if r["doc_id"] is not None)
+    assert got == sorted([(1, by_text[one], 1), (5, by_text[one], 1), (5, by_text[other], 5), (7, by_text[other], 5)])
+    assert [r["component_id"] for r in found if r["doc_id"] is None] == [None]
