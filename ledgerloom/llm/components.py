@@ -2,7 +2,12 @@
 
 Each round hangs every node's larger neighbours, then its smaller ones, onto the least node it sees.
 Edges never outnumber what came in, each round is written to the shared folder, and the only thing
-that reaches the driver is a count and a checksum that tell when nothing changes any more.
+that reaches the driver is a count and a checksum that tell when nothing changes any more. The node of a
+large component has many edges and is one key of a join; Spark divides such a key (its skew join), as no
+join here feeds an aggregate of the same key without an exchange of partial results.
+
+Defined results: null ends and edges to itself link nothing; repeated edges count once; no edges give no
+rows.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.storage import cut
+from ledgerloom.storage import Shelf
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,9 +24,10 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the least node that can be reached."""
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    shelf = Shelf(edges.sparkSession)
+    now = shelf.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "round-0")
     state = _state(now)
-    for _ in range(most):
+    for turn in range(1, most + 1):
         if not state[0]:
             break
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -29,7 +35,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         below = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(below, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(below).where("a <> b")
-        now = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        now = shelf.cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"round-{turn}")
+        shelf.drop(f"round-{turn - 1}")
         before, state = state, _state(now)
         if state == before:
             break

@@ -11,7 +11,8 @@ What reaches the driver is `size` rows for each language.
 
 Defined results: null text and text without a letter give `und` with score 0, as does everything
 when nothing is labelled; null labels are not learned from; repeated rows count each time. The score
-is 1 - distance / largest possible distance.
+is 1 - distance / largest possible distance. An empty table gives no rows; very long texts are profiled
+whole; ties between n-grams go to the smaller one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm.bpe import slices
 
@@ -141,12 +143,12 @@ def identify(docs: DataFrame, train: Column, text_column: str = "text", label_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_t"):
-                found = [profiles.predict(t) for t in batch.column("_t").to_pylist()]
+            for batch in slices(whole, text):
+                found = [profiles.predict(t) for t in batch.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*own, "lang_pred", "score"])
 
     own = [f"_k{i}" for i in range(len(keep))]
-    kinds = [docs.schema[c].dataType.simpleString() for c in keep]
-    plain = docs.select(*(F.col(c).alias(o) for c, o in zip(keep, own, strict=True)), F.col(text_column).alias("_t"))
-    schema = ", ".join([*(f"{o} {k}" for o, k in zip(own, kinds, strict=True)), "lang_pred string, score double"])
+    text = own[keep.index(text_column)] if text_column in keep else "_t"  # a text that is kept is sent once
+    plain = docs.select(*(F.col(c).alias(o) for c, o in zip(keep, own, strict=True)), *[F.col(text_column).alias("_t")] * (text == "_t"))
+    schema = T.StructType([*(T.StructField(o, docs.schema[c].dataType) for o, c in zip(own, keep, strict=True)), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return plain.mapInArrow(run, schema).withColumnsRenamed(dict(zip(own, keep, strict=True)))

@@ -8,7 +8,7 @@ such a key, nodes that share one are within two bits, and no key has more than 6
 each to the least node of its key loses no link and makes no pairs.
 
 `near_texts`: texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more. Equal texts
-are one node. Candidates come from a prefix filter, which loses no pair: shingles are put into one order
+are one node, known by a number of its own and not by an id, as different texts may share one. Candidates come from a prefix filter, which loses no pair: shingles are put into one order
 for all sets, and two similar sets share a shingle among the first n - ceil(0.8 n) + 1 of each. Any order
 is exact; shingles that are common in a bounded sample come last, so that prefixes hold rare ones. In
 buckets of more than NEAR_CAP nodes each node is compared with PIVOTS of them first, those whose
@@ -21,7 +21,9 @@ each of 512 places, which never differ in more places than the sets in shingles.
 
 Defined results: null text is empty; texts without a word have fingerprint zero and are linked like any
 other; repeated rows are equal texts; null ids get a fingerprint, a null component_id unless their
-fingerprint has an id, and are never dropped; an empty table stays empty.
+fingerprint has an id, and are never dropped; texts that share an id are told apart; of a group the row of
+the least id stays, of several texts of that id the one with the least digest; very long texts are taken
+whole; columns of the input keep their values whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from ledgerloom.llm import gph
 from ledgerloom.llm.bloom import Bloom
 from ledgerloom.llm.bpe import slices
 from ledgerloom.llm.components import components
-from ledgerloom.storage import cut
+from ledgerloom.storage import Shelf, cut
 
 SHINGLE, RADIUS, SEED, CAP = 3, 2, 42, 64
 NEAR_SHINGLE, SIMILARITY, NEAR_CAP, PIVOTS = 5, 0.8, 8, 2
@@ -229,10 +231,10 @@ def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str, t
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["id", "set"])
 
     text = F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))
-    wanted = cut(nodes.join(asked, "id", "left_semi").groupBy("id").agg(F.min("digest").alias("digest")), "wanted")
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.md5(text).alias("digest"), text.alias("b"))
-    texts = texts.where(Bloom(wanted, ["id", "digest"]).may_hold("id", "digest")).join(wanted, ["id", "digest"], "left_semi")
-    return texts.dropDuplicates(["id", "digest"]).select("id", "b").mapInArrow(run, "id long, set array<long>")
+    wanted = cut(nodes.join(asked, "id", "left_semi").select(F.col("least").alias("row_id"), "digest", "id"), "wanted")
+    texts = docs.select(F.col(id_column).cast("long").alias("row_id"), F.md5(text).alias("digest"), text.alias("b"))
+    texts = texts.where(Bloom(wanted, ["row_id", "digest"]).may_hold("row_id", "digest")).dropDuplicates(["row_id", "digest"])
+    return texts.join(wanted, ["row_id", "digest"]).select("id", "b").mapInArrow(run, "id long, set array<long>")
 
 
 def _jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -246,41 +248,48 @@ def _jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_texts(
     docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY, cap: int = NEAR_CAP, pivots: int = PIVOTS, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """(id, digest, component_id) for every row with an id; digest is the MD5 of the text, component_id the least id of its group."""
+    """(id, digest, component_id, stays) for every row with an id: the MD5 of the text, the least id of its group, and whether it is the row that stands for it."""
+    shelf = Shelf(docs.sparkSession)
     sketch = [f"s{k}" for k in range(SKETCH)]
-    rows = cut(_signatures(docs, id_column, text_column, size, similarity), "signatures")
-    nodes = cut(rows.groupBy("digest").agg(F.min(F.struct("id", "n", *sketch, "prefix")).alias("x")).select("digest", "x.*"), "texts")
+    rows = shelf.cut(_signatures(docs, id_column, text_column, size, similarity), "signatures")
+    texts = rows.groupBy("digest").agg(F.min("id").alias("least"), F.min(F.struct("n", *sketch, "prefix")).alias("x"))
+    nodes = shelf.cut(texts.select("digest", "least", "x.*").withColumn("id", F.monotonically_increasing_id()), "texts")
+    rows = shelf.cut(rows.select("id", "digest"), "rows")
+    shelf.drop("signatures")
     indexed = nodes.select("id", "n", F.posexplode("prefix").alias("at", "key"))
-    sizes = cut(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
+    sizes = shelf.cut(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
     shared = indexed.where(Bloom(sizes, ["key"]).may_hold("key"))  # most entries are alone in their bucket
-    shared = cut(shared.join(sizes, "key"), "shared-buckets")
+    shared = shelf.cut(shared.join(sizes, "key"), "shared-buckets")
     needed = similarity * (F.col("a_n") + F.col("b_n")) - 1e-6  # times 1 + similarity: how many shingles such sets share
     # What sets can share if this is the first that they do.
     ahead = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) * (1 + similarity) >= needed
     apart_by = gph.distance([F.col(f"a_{n}") for n in sketch], [F.col(f"b_{n}") for n in sketch])
     # Sets of this similarity differ in no more shingles than that.
     possible = apart_by * (1 + similarity) <= (F.col("a_n") + F.col("b_n")) * (1 - similarity) + 1e-6
+    # Nor are their sizes further apart.
+    alike = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity - 1e-6
 
     def met(left: DataFrame, right: DataFrame, columns: list[str], when) -> DataFrame:
         x, y = (df.select("key", *(F.col(n).alias(f"{k}_{n}") for n in ("id", "n", "at", *columns))) for df, k in ((left, "a"), (right, "b")))
-        return x.join(y, (x["key"] == y["key"]) & when)
+        return x.join(y, (x["key"] == y["key"]) & when & alike)
 
     def pairs(left: DataFrame, right: DataFrame, columns: list[str], when) -> DataFrame:
         return met(left, right, columns, when & ahead).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
     def linked(candidates: DataFrame) -> DataFrame:
         asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = cut(_sets(asked, nodes, docs, id_column, text_column, size), "shingle-sets")
-        return cut(_jaccard(candidates, sets).where(F.col("similarity") >= similarity).select("a", "b"), "links")
+        sets = shelf.cut(_sets(asked, nodes, docs, id_column, text_column, size), "shingle-sets")
+        found = shelf.cut(_jaccard(candidates, sets).where(F.col("similarity") >= similarity).select("a", "b"), "links")
+        shelf.drop("shingle-sets")
+        return found
 
     few, crowded = shared.where(F.col("rows") <= cap), shared.where(F.col("rows") > cap)
-    crowd = cut(crowded.groupBy("id").agg(F.sum("rows").alias("popular"), F.count(F.lit(1)).alias("places")), "crowds")
-    many = cut(crowded.join(nodes.select("id", *sketch).join(crowd.drop("places"), "id"), "id"), "many")
+    crowd = shelf.cut(crowded.groupBy("id").agg(F.sum("rows").alias("popular"), F.count(F.lit(1)).alias("places")), "crowds")
+    many = shelf.cut(crowded.join(nodes.select("id", *sketch).join(crowd.drop("places"), "id"), "id"), "many")
     order = Window.partitionBy("key").orderBy(F.col("popular").desc(), "id")
-    first = cut(many.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots), "pivots")
+    first = shelf.cut(many.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots), "pivots")
     # Beyond their prefixes two sets share less than the larger's share of the similarity, in crowded buckets no more than either is in.
-    alike = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity - 1e-6
-    together = met(few, few, [], (F.col("a_id") < F.col("b_id")) & alike).groupBy(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    together = met(few, few, [], F.col("a_id") < F.col("b_id")).groupBy(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     loose = together.agg(F.count(F.lit(1)).alias("common"), F.max("a_n").alias("a_n"), F.max("b_n").alias("b_n"), F.max(ahead).alias("ahead")).where("ahead")
     rest = F.ceil(F.greatest("a_n", "b_n") * similarity - 1e-9) - 1
     for k in ("a", "b"):
@@ -288,25 +297,31 @@ def near_texts(
         loose = loose.join(own, k)
     shares = (F.col("common") + F.least("a_places", "b_places") + rest) * (1 + similarity) >= needed
     held = pairs(many, first, sketch, (F.col("a_id") != F.col("b_id")) & possible)
-    found = cut(loose.where(shares & possible).select("a", "b").union(held).distinct(), "candidates")
+    found = shelf.cut(loose.where(shares & possible).select("a", "b").union(held).distinct(), "candidates")
     joined = linked(found)
-    groups = cut(components(joined), "groups")
+    groups = shelf.cut(components(joined), "groups")
     # What the pivots left apart: nodes of large buckets in another group than the first pivot's.
     group = groups.select(F.col("node").alias("id"), F.col("component").alias("g"))
     grouped = many.join(group, "id", "left").withColumn("group", F.coalesce("g", "id")).drop("g")
     heads = first.where("place = 1").select("key", "id").join(group, "id", "left").select("key", F.coalesce("g", "id").alias("head"))
     apart = grouped.join(heads, "key").where(F.col("group") != F.col("head")).drop("head")
-    more = cut(pairs(apart, grouped, ["group", *sketch], (F.col("a_group") != F.col("b_group")) & possible).join(found, ["a", "b"], "left_anti"), "candidates")
+    more = shelf.cut(pairs(apart, grouped, ["group", *sketch], (F.col("a_group") != F.col("b_group")) & possible).join(found, ["a", "b"], "left_anti"), "more")
     if more.head(1):
-        groups = cut(components(joined.union(linked(more))), "groups")
-    labelled = nodes.select("id", "digest").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    return rows.select("id", "digest").join(labelled, "digest").select(F.col("id").alias(id_column), "digest", "component_id")
+        groups = shelf.cut(components(joined.union(linked(more))), "all-groups")
+    labelled = nodes.select("id", "digest", "least").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = shelf.cut(labelled, "labelled")
+    stands = labelled.groupBy("component").agg(F.min(F.struct("least", "digest")).alias("head"))
+    named = labelled.join(stands, "component").select("digest", F.col("head.least").alias("component_id"), (F.col("digest") == F.col("head.digest")).alias("heads"))
+    out = shelf.cut(rows.join(named, "digest").select("id", "digest", "component_id", (F.col("heads") & (F.col("id") == F.col("component_id"))).alias("stays")), "near-texts")
+    shelf.paths.pop("near-texts")
+    shelf.clear()
+    return out.withColumnRenamed("id", id_column)
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
     """The documents without those that another of their group stands for; rows that are repeated stay once."""
-    found = cut(near_texts(docs, id_column=id_column, text_column=text_column, **how), "near-texts")
-    keys = found.select(F.col(id_column).alias("id"), "digest", (F.col(id_column) != F.col("component_id")).alias("gone"))
+    found = near_texts(docs, id_column=id_column, text_column=text_column, **how)
+    keys = found.select(F.col(id_column).alias("id"), "digest", (~F.col("stays")).alias("gone"))
     keys = keys.groupBy("id", "digest").agg(F.max("gone").alias("gone"), F.count(F.lit(1)).alias("n"))
     touched = cut(keys.where("gone or n > 1"), "touched")
     digest = F.md5(F.coalesce(F.col(text_column).cast("binary"), F.lit(b"")))
