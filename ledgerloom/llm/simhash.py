@@ -258,8 +258,7 @@ def near_texts(
     shelf.drop("signatures")
     indexed = nodes.select("id", "n", F.posexplode("prefix").alias("at", "key"))
     sizes = shelf.cut(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
-    shared = indexed.where(Bloom(sizes, ["key"]).may_hold("key"))  # most entries are alone in their bucket
-    shared = shelf.cut(shared.join(sizes, "key"), "shared-buckets")
+    shared = shelf.cut(indexed.join(sizes, "key"), "shared-buckets")
     needed = similarity * (F.col("a_n") + F.col("b_n")) - 1e-6  # times 1 + similarity: how many shingles such sets share
     # What sets can share if this is the first that they do.
     ahead = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) * (1 + similarity) >= needed
