@@ -47,8 +47,8 @@ NEAR_SHINGLE, SIMILARITY, NEAR_CAP, PIVOTS = 5, 0.8, 8, 2
 #: Texts that are sampled for the order of shingles, and how many of the most common shingles are told apart.
 SAMPLE, COMMON = 16_384, 65_536
 HOT_SHARE = 1000
-#: Longs of a sketch of parities.
-SKETCH = 8
+#: Longs of a sketch of parities, and of the wider one of sets with more shingles than WIDE.
+SKETCH, WIDE_SKETCH, WIDE = 8, 256, 1024
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -158,9 +158,9 @@ def shingle_set(text: bytes, size: int = NEAR_SHINGLE) -> np.ndarray:
     return np.array(sorted({xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, size)}), np.uint64).view(np.int64)
 
 
-def parities(shingle_hashes: np.ndarray) -> np.ndarray:
-    """SKETCH signed longs: for each place, whether an odd number of the hashes falls on it."""
-    counts = np.bincount((shingle_hashes & (64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH)
+def parities(shingle_hashes: np.ndarray, longs: int = SKETCH) -> np.ndarray:
+    """Signed longs, a power of two: for each place, whether an odd number of the hashes falls on it."""
+    counts = np.bincount((shingle_hashes & (64 * longs - 1)).astype(np.int64), minlength=64 * longs)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8").astype(np.int64)
 
 
@@ -221,20 +221,21 @@ def _signatures(docs: DataFrame, id_column: str, text_column: str, size: int, si
 
 
 def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str, text_column: str, size: int) -> DataFrame:
-    """(id, set): the shingles of the nodes asked for."""
+    """(id, set, wide): the shingles of the nodes asked for, and the wide sketch of large sets, else null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "b"):
                 sets = [shingle_set(t or b"", size) for t in batch.column("b").to_pylist()]
                 ends = pa.array(np.cumsum([0, *map(len, sets)], dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["id", "set"])
+                wide = pa.array([parities(x, WIDE_SKETCH) if len(x) > WIDE else None for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))), wide], ["id", "set", "wide"])
 
     text = F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))
     wanted = cut(nodes.join(asked, "id", "left_semi").select(F.col("least").alias("row_id"), "digest", "id"), "wanted")
     texts = docs.select(F.col(id_column).cast("long").alias("row_id"), F.md5(text).alias("digest"), text.alias("b"))
     texts = texts.where(Bloom(wanted, ["row_id", "digest"]).may_hold("row_id", "digest")).dropDuplicates(["row_id", "digest"])
-    return texts.join(wanted, ["row_id", "digest"]).select("id", "b").mapInArrow(run, "id long, set array<long>")
+    return texts.join(wanted, ["row_id", "digest"]).select("id", "b").mapInArrow(run, "id long, set array<long>, wide array<long>")
 
 
 def _jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -252,8 +253,12 @@ def near_texts(
     shelf = Shelf(docs.sparkSession)
     sketch = [f"s{k}" for k in range(SKETCH)]
     rows = shelf.cut(_signatures(docs, id_column, text_column, size, similarity), "signatures")
-    texts = rows.groupBy("digest").agg(F.min("id").alias("least"), F.min(F.struct("n", *sketch, "prefix")).alias("x"))
-    nodes = shelf.cut(texts.select("digest", "least", "x.*").withColumn("id", F.monotonically_increasing_id()), "texts")
+    # Most texts are alone; only those that a filter takes for repeated ones are exchanged with their prefixes.
+    again = shelf.cut(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("digest"), "repeated")
+    repeated = Bloom(again, ["digest"]).may_hold("digest")
+    once = rows.where(~repeated).select("digest", F.col("id").alias("least"), "n", *sketch, "prefix")
+    texts = rows.where(repeated).groupBy("digest").agg(F.min("id").alias("least"), F.min(F.struct("n", *sketch, "prefix")).alias("x"))
+    nodes = shelf.cut(once.union(texts.select("digest", "least", "x.*")).withColumn("id", F.monotonically_increasing_id()), "texts")
     rows = shelf.cut(rows.select("id", "digest"), "rows")
     shelf.drop("signatures")
     indexed = nodes.select("id", "n", F.posexplode("prefix").alias("at", "key"))
@@ -273,38 +278,54 @@ def near_texts(
         return x.join(y, (x["key"] == y["key"]) & when & alike)
 
     def pairs(left: DataFrame, right: DataFrame, columns: list[str], when) -> DataFrame:
-        return met(left, right, columns, when & ahead).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+        found = met(left, right, columns, when & ahead).select(F.when(F.col("a_id") < F.col("b_id"), F.struct(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_n", "b_n")).otherwise(F.struct(F.col("b_id").alias("a"), F.col("a_id").alias("b"), F.col("b_n").alias("a_n"), F.col("a_n").alias("b_n"))).alias("p"))
+        return found.select("p.*").distinct()
+
+    def sketched(candidates: DataFrame) -> DataFrame:
+        """(a, b, a_n, b_n, ...) with the sketches of both and how many crowded buckets each is in."""
+        for k in ("a", "b"):
+            own = nodes.join(crowd.select("id", "places"), "id", "left").select(F.col("id").alias(k), F.coalesce("places", F.lit(0)).alias(f"{k}_places"), *(F.col(n).alias(f"{k}_{n}") for n in sketch))
+            candidates = candidates.join(own, k)
+        return candidates
 
     def linked(candidates: DataFrame) -> DataFrame:
         asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = shelf.cut(_sets(asked, nodes, docs, id_column, text_column, size), "shingle-sets")
+        # Large sets are held apart by their wide sketches first, which are a small part of them.
+        for k in ("a", "b"):
+            candidates = candidates.join(sets.where("wide is not null").select(F.col("id").alias(k), F.col("wide").alias(f"{k}_wide"), F.size("set").alias(f"{k}_n")), k, "left")
+        differ = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        close = differ * (1 + similarity) <= (F.col("a_n") + F.col("b_n")) * (1 - similarity) + 1e-6
+        candidates = shelf.cut(candidates.where(F.coalesce(close, F.lit(True))).select("a", "b"), "to-verify")
         found = shelf.cut(_jaccard(candidates, sets).where(F.col("similarity") >= similarity).select("a", "b"), "links")
-        shelf.drop("shingle-sets")
+        shelf.drop("shingle-sets", "to-verify")
         return found
 
     few, crowded = shared.where(F.col("rows") <= cap), shared.where(F.col("rows") > cap)
     crowd = shelf.cut(crowded.groupBy("id").agg(F.sum("rows").alias("popular"), F.count(F.lit(1)).alias("places")), "crowds")
-    many = shelf.cut(crowded.join(nodes.select("id", *sketch).join(crowd.drop("places"), "id"), "id"), "many")
+    many = crowded.join(crowd.drop("places"), "id")
     order = Window.partitionBy("key").orderBy(F.col("popular").desc(), "id")
     first = shelf.cut(many.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots), "pivots")
     # Beyond their prefixes two sets share less than the larger's share of the similarity, in crowded buckets no more than either is in.
     together = met(few, few, [], F.col("a_id") < F.col("b_id")).groupBy(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     loose = together.agg(F.count(F.lit(1)).alias("common"), F.max("a_n").alias("a_n"), F.max("b_n").alias("b_n"), F.max(ahead).alias("ahead")).where("ahead")
     rest = F.ceil(F.greatest("a_n", "b_n") * similarity - 1e-9) - 1
-    for k in ("a", "b"):
-        own = nodes.join(crowd.select("id", "places"), "id", "left").select(F.col("id").alias(k), F.coalesce("places", F.lit(0)).alias(f"{k}_places"), *(F.col(n).alias(f"{k}_{n}") for n in sketch))
-        loose = loose.join(own, k)
     shares = (F.col("common") + F.least("a_places", "b_places") + rest) * (1 + similarity) >= needed
-    held = pairs(many, first, sketch, (F.col("a_id") != F.col("b_id")) & possible)
-    found = shelf.cut(loose.where(shares & possible).select("a", "b").union(held).distinct(), "candidates")
+    held = pairs(crowded, first, [], F.col("a_id") != F.col("b_id"))
+    found = sketched(loose.drop("ahead")).where(shares & possible).select("a", "b").union(sketched(held).where(possible).select("a", "b"))
+    found = shelf.cut(found.distinct(), "candidates")
     joined = linked(found)
     groups = shelf.cut(components(joined), "groups")
     # What the pivots left apart: nodes of large buckets in another group than the first pivot's.
     group = groups.select(F.col("node").alias("id"), F.col("component").alias("g"))
-    grouped = many.join(group, "id", "left").withColumn("group", F.coalesce("g", "id")).drop("g")
     heads = first.where("place = 1").select("key", "id").join(group, "id", "left").select("key", F.coalesce("g", "id").alias("head"))
-    apart = grouped.join(heads, "key").where(F.col("group") != F.col("head")).drop("head")
-    more = shelf.cut(pairs(apart, grouped, ["group", *sketch], (F.col("a_group") != F.col("b_group")) & possible).join(found, ["a", "b"], "left_anti"), "more")
+    placed = crowded.select("key", "id", "n", "at").join(group, "id", "left").withColumn("group", F.coalesce("g", "id")).drop("g")
+    apart = shelf.cut(placed.join(heads, "key").where(F.col("group") != F.col("head")).drop("head"), "apart")
+    # Only nodes of these buckets need their sketches here.
+    with_sketch = lambda df: df.join(nodes.select("id", *sketch), "id")
+    others = with_sketch(placed.join(apart.select("key").distinct(), "key", "left_semi"))
+    more = pairs(with_sketch(apart), others, ["group", *sketch], (F.col("a_group") != F.col("b_group")) & possible).select("a", "b").distinct()
+    more = shelf.cut(more.join(found, ["a", "b"], "left_anti"), "more")
     if more.head(1):
         groups = shelf.cut(components(joined.union(linked(more))), "all-groups")
     labelled = nodes.select("id", "digest", "least").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
