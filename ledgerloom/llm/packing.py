@@ -5,7 +5,8 @@ each filled to just under a whole number of windows, are dealt into that many wi
 starts as a partition of its own, and the two partitions with the largest imbalance are merged
 again and again, the fullest windows of one with the emptiest of the other. Should a window come
 out over capacity the block gets one more. Stretches of a document that fill a window alone are
-windows as they are. Blocks never leave their task, so nothing is shuffled.
+windows as they are. Blocks never leave their task, so nothing is shuffled. A block of `most` pieces
+gives up as many of them as fill whole windows, so that very short documents take no more memory.
 
 Defined results: null text is empty, and such a document is its end token alone; a null id stays
 null; repeated rows are packed once each; an empty table gives no pieces.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import wordbpe
 from ledgerloom.llm.bpe import slices
 
-CAPACITY, PIECE, WINDOWS, SLACK = 4096, 512, 128, 8
+CAPACITY, PIECE, WINDOWS, SLACK, MOST = 4096, 512, 128, 8, 32_768
 
 
 def differencing(sizes: list[int], m: int) -> list[int]:
@@ -81,9 +82,10 @@ def balanced(sizes: list[int], capacity: int) -> list[int]:
 class Packer:
     """Takes documents one by one, gives rows (index of document, start, length, crc, tokens, window, offset)."""
 
-    def __init__(self, capacity: int, piece: int, windows: int, slack: int):
-        self.capacity, self.piece, self.windows = capacity, min(piece, capacity), windows
-        self.full = windows * (capacity - slack)
+    def __init__(self, capacity: int, piece: int, windows: int, slack: int, most: int = MOST):
+        self.capacity, self.piece, self.windows, self.most = capacity, min(piece, capacity), windows, most
+        self.slacked = max(1, capacity - slack)
+        self.full = windows * self.slacked
         self.pieces, self.sizes, self.held, self.next = [], [], 0, 0
 
     def add(self, doc, ids: bytes) -> Iterator[tuple]:
@@ -101,15 +103,23 @@ class Packer:
             at += size
             if self.held == self.full:
                 yield from self.flush()
-
-    def flush(self) -> Iterator[tuple]:
+            elif len(self.pieces) >= self.most:
+                yield from self.flush(self.held - self.held % self.slacked or self.held)
+
+    def flush(self, tokens: int | None = None) -> Iterator[tuple]:
+        """Packs the first pieces, of at most so many tokens, or all."""
+        later: list[tuple] = []
+        while tokens is not None and self.held > tokens and len(self.pieces) > 1:
+            later.append((self.pieces.pop(), self.sizes.pop()))
+            self.held -= later[-1][1]
         window = balanced(self.sizes, self.capacity)
         offset: dict[int, int] = {}
         for (doc, at, size, crc, n), w in zip(self.pieces, window, strict=True):
             yield doc, at, size, crc, n, self.next + w, offset.get(w, 0)
             offset[w] = offset.get(w, 0) + size
         self.next += max(window, default=-1) + 1
-        self.pieces, self.sizes, self.held = [], [], 0
+        self.pieces, self.sizes = [p for p, _ in reversed(later)], [n for _, n in reversed(later)]
+        self.held = sum(self.sizes)
 
 
 def pack(

@@ -10,11 +10,17 @@ of about `batch`; each pair of groups is one task's work, so neither side is eve
 
 Defined results: vectors that are null, hold null or a non-finite component take no part, nor do null
 ids; vectors of different lengths are padded with zeros; rows with a query's own id are never its
-candidates; a repeated query row is answered once; a score beyond a long raises. Ties go to the smaller id.
+candidates; a repeated query row is answered once, and different vectors under one id are queries of
+their own; an empty table gives no rows. Ties go to the smaller id. Scores are exact: blocks whose sums
+might leave 64 bits are computed with Python's integers, and only a score among the k best that no long
+can hold raises.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,26 +29,26 @@ from pyspark.sql import functions as F
 K, SCALE, GROUP, BATCH = 5, 256, 16_384, 1024
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Weights of a list column as int64, shorter rows padded with zeros."""
+def _matrix(column: pa.ChunkedArray, scale: int) -> np.ndarray:
+    """Weights floor(scale * x) of a list column, shorter rows padded with zeros: as int64, or as Python integers if they are large."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     lengths = np.diff(np.asarray(array.offsets))
     values = np.asarray(array.flatten(), np.float64)
     wide = int(lengths.max(initial=0))
     out = np.zeros((len(lengths), wide), np.float64)
     out[np.arange(wide)[None, :] < lengths[:, None]] = values
-    if np.abs(out).max(initial=0) >= 2**53:
-        raise OverflowError("a weight is beyond 2 to the power 53")
-    return out.astype(np.int64)
+    if np.abs(out).max(initial=0) * scale < 2**62:
+        return np.floor(out * scale).astype(np.int64)
+    exact = [[math.floor(x * scale) if abs(x) < 2**52 else int(x) * scale for x in row] for row in out.tolist()]
+    return np.array(exact, object).reshape(out.shape)
 
 
 def block_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int):
     """(query index, row index, score) of each query's k best rows; row_ids ascend."""
     terms = min(queries.shape[1], rows.shape[1])
-    bound = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(terms, 1)
-    if bound >= 2**63:
-        raise OverflowError("a score may be beyond a long")
-    kind = np.int32 if bound < 2**31 else np.int64
+    most = lambda m: [max(map(abs, m[:, t].tolist()), default=0) for t in range(terms)]
+    bound = sum(a * b for a, b in zip(most(queries), most(rows), strict=True))
+    kind = np.int32 if bound < 2**31 else np.int64 if bound < 2**62 else object
     q, r = queries.astype(kind), rows.astype(kind)
     found = []
     step = max(1, 4_000_000 // max(1, len(row_ids)))
@@ -66,6 +72,10 @@ def block_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row
             take = min(k, valid)
             if not take:
                 continue
+            if kind is object:
+                order = heapq.nsmallest(take, (p for p in range(len(own)) if row_ids[p] != query_ids[low + i]), key=lambda p: (-own[p], p))
+                found += [(low + i, p, int(own[p])) for p in order]
+                continue
             own = own.astype(np.int64)
             if len(mine):
                 own[mine] = np.iinfo(np.int64).min
@@ -85,26 +95,27 @@ def topk(
         v = F.col(vector_column)
         finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         own = df.select(F.col(id_column).cast("long").alias("id"), v.alias(vector_column)).where(F.col("id").isNotNull() & v.isNotNull())
-        return own.where(finite).select("id", F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("w"))
+        return own.where(finite).select("id", F.transform(v, lambda x: x.cast("double")).alias("w"))
 
     own, asked = weighed(candidates), weighed(queries).distinct()
     groups = max(1, -(-candidates.count() // group))
     batches = max(1, -(-queries.count() // batch))
     place = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumn("b", place(batches, 1)).withColumn("g", every(groups))
+    left = asked.withColumn("of", F.xxhash64("w")).withColumn("b", place(batches, 1)).withColumn("g", every(groups))
     right = own.withColumn("g", place(groups, 2)).withColumn("b", every(batches))
 
     def run(q: pa.Table, r: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
+        names = ["query_id", "of", "vec_id", "score"]
         schema = pa.schema([(n, pa.int64()) for n in names])
         if not q.num_rows or not r.num_rows:
             return schema.empty_table()
         order = np.argsort(np.asarray(r["id"]), kind="stable")
-        ids, asked_ids = np.asarray(r["id"])[order], np.asarray(q["id"])
-        found = block_topk(_matrix(q["w"]), asked_ids, _matrix(r["w"])[order], ids, k)
-        return pa.Table.from_arrays([pa.array(asked_ids[[f[0] for f in found]]), pa.array(ids[[f[1] for f in found]]), pa.array([f[2] for f in found], pa.int64())] if found else [pa.array([], pa.int64())] * 3, schema=schema)
+        ids, asked_ids, of = np.asarray(r["id"])[order], np.asarray(q["id"]), np.asarray(q["of"])
+        found = block_topk(_matrix(q["w"], scale), asked_ids, _matrix(r["w"], scale)[order], ids, k)
+        asked = [f[0] for f in found]
+        return pa.Table.from_arrays([pa.array(asked_ids[asked]), pa.array(of[asked]), pa.array(ids[[f[1] for f in found]]), pa.array([f[2] for f in found], pa.int64())] if found else [pa.array([], pa.int64())] * 4, schema=schema)
 
-    best = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    best = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInArrow(run, "query_id long, of long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "of").orderBy(F.col("score").desc(), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias(id_column), "score")
