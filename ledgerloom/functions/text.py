@@ -5,19 +5,55 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed word list: words of a question that say nothing about what it asks for.
-STOP_WORDS = ("a", "about", "an", "and", "are", "as", "at", "be", "by", "did", "do", "does", "for", "from", "had", "has", "have", "how", "in", "is", "it", "its", "of", "on", "or", "that", "the", "their", "this", "to", "was", "were", "what", "when", "where", "which", "who", "why", "will", "with")
+#: Words of a question that say nothing about what it asks for.
+STOP_WORDS = (
+    "a", "an", "the", "of", "in", "on", "at", "to", "for", "from", "by", "with", "and", "or", "as", "is", "was", "were",
+    "be", "been", "are", "what", "which", "who", "whom", "how", "much", "many", "did", "does", "do", "its", "it", "this",
+    "that", "these", "those", "their", "there", "than", "then", "per", "during", "year", "years", "fiscal", "ended",
+    "ending", "end", "according", "statement", "statements", "total", "amount", "value", "company", "s",
+)
+#: Phrases of questions that compare or derive.
+SYNTHESIS = (
+    "compare", "comparison", "versus", " vs ", " vs.", "difference between", "trend", "ratio",
+    "calculate", "growth rate", "year-over-year", "year over year", "combined", "across",
+)
+#: Phrases that name a statement.
+STATEMENT_KEYWORDS = {
+    "income_statement": ("revenue", "revenues", "gross margin", "gross profit", "cost of revenue", "operating income", "operating margin", "net income", "earnings per share"),
+    "balance_sheet": ("total assets", "total liabilities", "balance sheet", "stockholders equity", "shareholders equity", "stockholders' equity", "shareholders' equity", "total equity"),
+    "cash_flow_statement": ("cash flow", "operating activities", "financing activities", "investing activities", "cash from operations"),
+    "equity_statement": (
+        "changes in stockholders equity", "changes in shareholders equity", "changes in stockholders' equity", "changes in shareholders' equity", "changes in equity",
+        "statement of stockholders' equity", "statements of stockholders' equity", "stockholders' equity statement", "equity statement",
+    ),
+    "comprehensive_income": ("comprehensive income", "other comprehensive income"),
+}
 NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
 #: Fixed patterns: furniture lines of a filing.
-PAGE_NUMBER, RULE, BARE_ITEM = r"^(?:F-)?\d{1,4}$", r"^[-_=*\s]{3,}$", r"(?i)^item\s+\d+[a-z]?\.?$"
-#: Fixed patterns: titles of statements, tried in this order.
-TITLES = (
-    ("comprehensive_income", r"(?i)^(consolidated )?statements? of comprehensive (income|loss)"),
-    ("income_statement", r"(?i)^(consolidated )?(statements? of (income|operations|earnings)|income statements?)"),
-    ("balance_sheet", r"(?i)^(consolidated )?(balance sheets?|statements? of financial position)"),
-    ("cash_flow_statement", r"(?i)^(consolidated )?(statements? of cash flows?|cash flows? statements?)"),
-    ("equity_statement", r"(?i)^(consolidated )?statements? of (changes in )?(stockholders|shareholders)['’]? equity"),
-)
+PAGE_NUMBER, RULE, BARE_ITEM = r"^(?:F-)?\d{1,4}$", r"^(?:\\?[_\-*=~.]){3,}$", r"(?i)^Item\s+\d{1,2}[A-Za-z]?$"
+#: Fixed patterns: whole lines that are titles of statements, tried in this order, and the title of the notes.
+_WHOLE = r"(?i)^(CONSOLIDATED\s+)?({})$"
+TITLES = {
+    "balance_sheet": _WHOLE.format(r"(STATEMENTS?\s+OF\s+)?BALANCE\s+SHEETS?"),
+    "cash_flow_statement": _WHOLE.format(r"STATEMENTS?\s+OF\s+CASH\s+FLOWS?|CASH\s+FLOWS?\s+STATEMENTS?"),
+    "equity_statement": _WHOLE.format(r"STATEMENTS?\s+OF\s+(CHANGES\s+IN\s+)?(STOCKHOLDERS|SHAREHOLDERS).{0,3}\s+EQUITY|(STOCKHOLDERS|SHAREHOLDERS).{0,3}\s+EQUITY\s+STATEMENTS?"),
+    "comprehensive_income": _WHOLE.format(r"STATEMENTS?\s+OF\s+COMPREHENSIVE\s+INCOME|COMPREHENSIVE\s+INCOME\s+STATEMENTS?"),
+    "income_statement": _WHOLE.format(r"STATEMENTS?\s+OF\s+(OPERATIONS|INCOME)|(OPERATIONS|INCOME)\s+STATEMENTS?"),
+}
+NOTES_TITLE = r"(?i)^NOTES\s+TO\s+(CONSOLIDATED\s+)?FINANCIAL\s+STATEMENTS$"
+#: Fixed patterns: what a figure is not part of, and legal forms at the end of a name.
+CITATION = r"\(Source:[^)]*\)|[A-Z]{4}-10K-\d{4}\.html|\b(?:Item|Note|PART)\s+\w+"
+DATE_DAY = r"\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}\b"
+YEAR = r"^(19|20)\d\d$"
+LEGAL_FORM = r"(?i)(?<=\S),?\s+(Corporation|Corp\.?|Incorporated|Inc\.?|Company|Co\.?|Limited|Ltd\.?|plc|LLC|L\.?P\.?|N\.V\.|S\.A\.|AG|SE)$"
+#: Words that stay small in a title, and suffixes that stay capital in a name.
+SMALL_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
+CAPITAL_SUFFIXES = ("LLP", "LLC", "LP", "USA")
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def words(text: Column) -> Column:
@@ -27,7 +63,7 @@ def words(text: Column) -> Column:
 def keyword_terms(question: Column, names: Column | None = None) -> Column:
     """Distinct words in order of appearance, without stop words, years and the words of names."""
     drop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    own = F.filter(words(question), lambda w: ~F.array_contains(drop, w) & ~w.rlike(r"^(19|20)\d\d$"))
+    own = F.filter(words(question), lambda w: ~F.array_contains(drop, w) & ~w.rlike(YEAR))
     return F.array_distinct(own if names is None else F.array_except(own, names))
 
 
@@ -42,49 +78,112 @@ def number_tokens(text: Column) -> Column:
 
 
 def stated_figures(answer: Column, question: Column) -> Column:
-    """Figures of an answer that are no citation, day of a month or year and not in the question."""
-    bare = F.regexp_replace(answer, r"\[\d+\]", " ")
-    bare = F.regexp_replace(bare, r"(January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}", " ")
+    """Figures of an answer that are no part of a citation, no day of a month, no year and not in the question."""
+    bare = F.regexp_replace(F.regexp_replace(answer, CITATION, " "), DATE_DAY, " ")
     asked = number_tokens(question)
-    return F.filter(number_tokens(bare), lambda t: ~t.rlike(r"^(19|20)\d\d$") & ~F.array_contains(asked, t))
+    return F.filter(number_tokens(bare), lambda t: ~t.rlike(YEAR) & ~F.array_contains(asked, t))
 
 
-def statement_title(line: Column) -> Column:
-    """The statement that a line of at most 60 characters names, else null."""
-    text, out = F.trim(line), F.lit(None).cast("string")
-    for kind, pattern in reversed(TITLES):
+def _title(line: Column, patterns: dict[str, str]) -> Column:
+    text, out = trimmed(line), F.lit(None).cast("string")
+    for kind, pattern in reversed(patterns.items()):
         out = F.when(text.rlike(pattern), F.lit(kind)).otherwise(out)
-    return F.when(F.length(text) <= 60, out)
+    return F.when(F.length(text).between(1, 60), out)
+
+
+def statement_title(line: Column) -> Column:
+    """The statement that a line of at most 60 characters names as a whole, else null."""
+    return _title(line, TITLES)
+
+
+def is_notes_title(line: Column) -> Column:
+    return _title(line, {"notes": NOTES_TITLE}).isNotNull()
+
+
+def is_statement_boundary(line: Column) -> Column:
+    return _title(line, {**TITLES, "notes": NOTES_TITLE}).isNotNull()
+
+
+def statement_of_question(question: Column, keywords: dict[str, tuple[str, ...]] = STATEMENT_KEYWORDS) -> Column:
+    """The one statement that a question's phrases name; a phrase within a longer one that is there too does not count; else null."""
+    low, out = F.lower(question), []
+    every = [(kind, word) for kind, words_ in keywords.items() for word in words_]
+    for kind in keywords:
+        said = F.lit(False)
+        for word in keywords[kind]:
+            longer = [F.contains(low, F.lit(o)) for _, o in every if len(o) > len(word) and word in o]
+            alone = F.contains(low, F.lit(word))
+            for o in longer:
+                alone = alone & ~o
+            said = said | alone
+        out.append(F.when(said, F.lit(kind)))
+    named = F.array_compact(F.array(*out))
+    return F.when(F.size(named) == 1, F.try_element_at(named, F.lit(1)))
+
+
+def needs_synthesis(question: Column) -> Column:
+    return F.exists(F.array(*(F.lit(w) for w in SYNTHESIS)), lambda w: F.contains(F.lower(question), w))
 
 
 def is_noise(line: Column) -> Column:
-    text = F.trim(line)
+    """Page numbers, rules and bare item headers."""
+    text = trimmed(line)
     return text.rlike(PAGE_NUMBER) | text.rlike(RULE) | text.rlike(BARE_ITEM)
 
 
+def _table_lines(content: Column) -> Column:
+    return F.filter(F.transform(F.split(content, "\n"), trimmed), lambda x: F.startswith(x, F.lit("|")))
+
+
 def row_labels(content: Column) -> Column:
     """First-seen labels of table rows: first cell of lines that start with a pipe, with a letter and two characters at least."""
-    lines = F.filter(F.split(content, "\n"), lambda x: F.startswith(x, F.lit("|")))
-    labels = F.transform(lines, lambda x: F.trim(F.element_at(F.split(x, r"\|"), 2)))
-    return F.array_distinct(F.filter(labels, lambda x: (F.length(x) >= 2) & x.rlike("[A-Za-z]")))
+    labels = F.transform(_table_lines(content), lambda x: trimmed(F.element_at(F.split(F.regexp_replace(x, r"^\|+|\|+$", ""), r"\|"), 1)))
+    return F.array_distinct(F.filter(labels, lambda x: (F.length(x) >= 2) & x.rlike(r"\p{L}")))
 
 
 def embedding_text(heading: Column, content: Column, template: str = "{}") -> Column:
-    """Heading and content, with the row labels of a table before it, inside a model's template."""
-    labels = row_labels(content)
-    table = F.when(F.size(labels) > 0, F.concat(F.lit("Financial data table with rows: "), F.array_join(labels, ", ")))
+    """Heading and content, with the row labels of a table below the heading, inside a model's template."""
+    labels = F.array_join(row_labels(content), ", ")
+    rows = F.when(labels == "", "Financial data table.").otherwise(F.concat(F.lit("Financial data table with rows: "), labels, F.lit(".")))
+    table = F.when(F.size(_table_lines(content)) > 0, F.concat(F.lit("\n"), rows)).otherwise("")
     before, _, after = template.partition("{}")
-    return F.concat(F.lit(before), F.concat_ws("\n\n", heading, table, content), F.lit(after))
+    return F.concat(F.lit(before), heading, table, F.lit("\n\n"), content, F.lit(after))
 
 
-def short_name(name: Column, rounds: int = 4) -> Column:
+def short_name(name: Column, rounds: int = 8) -> Column:
     """A company name without leading article and legal forms, never empty."""
-    out = F.regexp_replace(F.trim(name), r"(?i)^the\s+(?=\S)", "")
+    out = trimmed(F.regexp_replace(trimmed(name), r"(?i)^the (?=.*\S)", ""))
     for _ in range(rounds):
-        out = F.regexp_replace(out, r"(?i)(?<=\S)[,\s]+(incorporated|inc|corporation|corp|company|co|limited|ltd|llc|plc|lp|n\.v|s\.a)\.?$", "")
+        out = trimmed(F.regexp_replace(out, LEGAL_FORM, ""))
     return out
 
 
+def clean_value(value: Column) -> Column:
+    """A cover value without trailing commas; all capitals of more than four letters become title case, but for acronyms and suffixes."""
+    bare = trimmed(F.regexp_replace(trimmed(value), "[,;]+$", ""))
+    letters = F.regexp_replace(bare, r"\P{L}", "")
+    shouted = (F.length(letters) > 4) & ~letters.rlike(r"[^\p{Lu}]")
+    acronym = lambda w: w.rlike(r"\p{L}") & (~w.rlike("(?i)[AEIOU]") | F.contains(w, F.lit("&")))
+    spoken = F.array_join(F.transform(F.split(bare, " "), lambda w: F.when(acronym(w), w).otherwise(F.initcap(F.lower(w)))), " ")
+    for suffix in CAPITAL_SUFFIXES:
+        spoken = F.regexp_replace(spoken, rf"(?i)\b{suffix}\b", suffix)
+    return F.nullif(F.when(shouted, spoken).otherwise(bare), F.lit(""))
+
+
+def topic_title(title: Column) -> Column:
+    """A role title as a heading: all capitals become title case with small words small."""
+    small = F.array(*(F.lit(w) for w in SMALL_WORDS))
+    bare = trimmed(title)
+    cased = F.transform(F.split(F.lower(bare), " "), lambda w, i: F.when((i > 0) & F.array_contains(small, w), w).otherwise(F.initcap(w)))
+    return F.when(bare.rlike(r"\p{Ll}"), bare).otherwise(F.array_join(cased, " "))
+
+
+def company_line(name: Column, symbols: Column, form: Column, year: Column) -> Column:
+    """`Name (SYM), Form 10-K for fiscal year Y.`, without the parts that are null or empty."""
+    part = lambda before, v, after="": F.when(v.isNotNull() & (v != ""), F.concat(F.lit(before), v, F.lit(after))).otherwise("")
+    return F.concat(name, part(" (", F.array_join(symbols, ", "), ")"), part(", Form ", form), part(" for fiscal year ", year), F.lit("."))
+
+
 def concept_of(fragment: Column) -> Column:
     """`us-gaap_Assets` is us-gaap:Assets."""
     return F.regexp_replace(fragment, "^([^_]+)_", "$1:")
@@ -113,10 +212,13 @@ def judge_score(reply: Column) -> Column:
     return F.coalesce(F.try_element_at(phrase, F.lit(-1)), F.nullif(trailing, F.lit("")), F.nullif(leading, F.lit(""))).cast("int")
 
 
-def line_window(text: Column, figure: Column, width: int = 160) -> Column:
-    """About `width` characters around the first place of a figure, with marks where text is left out."""
-    at = F.instr(text, figure) - 1
-    start = F.greatest(F.lit(0), at - F.lit(width // 2))
-    end = F.least(F.length(text), start + width)
-    cut = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(text, start + 1, end - start), F.when(end < F.length(text), "…").otherwise(""))
-    return F.when(at >= 0, cut)
+def line_window(line: Column, figure: Column, width: int = 160) -> Column:
+    """A line, or of a longer one `width` characters centred on a figure, kept within the line, with marks where text is left out."""
+    tokens = number_tokens(line)
+    gaps = F.transform(F.split(line, NUMBER, -1), lambda g: F.length(g))
+    place = F.array_position(tokens, figure).cast("int")
+    before = F.aggregate(F.slice(gaps, F.lit(1), place), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(tokens, F.lit(1), place - 1), F.lit(0), lambda a, x: a + F.length(x))
+    at = F.when(place > 0, before).otherwise(0)
+    start = F.greatest(F.lit(0), F.least(at - width // 2, F.length(line) - width))
+    cut = F.concat(F.when(start > 0, "...").otherwise(""), F.substring(line, start + 1, F.lit(width)), F.when(start + width < F.length(line), "...").otherwise(""))
+    return F.when(F.length(line) <= width, line).otherwise(cut)

@@ -88,11 +88,20 @@ def rerank(candidates: DataFrame, k: int, depth: int) -> DataFrame:
 
 
 def prompt(excerpts: DataFrame, system: str) -> DataFrame:
-    """excerpts (question_id, rank, heading, content, question): one prompt a question, excerpts in order."""
-    block = F.concat(F.lit("["), F.col("rank"), F.lit("] "), F.col("heading"), F.lit("\r\n"), F.col("content"))
+    """excerpts (question_id, rank, filing, heading, content, question): one prompt a question, excerpts in order.
+
+    The system prompt's line breaks become CRLF, whatever they are in the source. Labels are not numbered.
+    """
+    block = F.concat(F.lit("--- Excerpt from "), F.col("filing"), F.lit(", section "), F.col("heading"), F.lit(" ---\n"), F.col("content"), F.lit("\n\n"))
     rows = F.array_sort(F.collect_list(F.struct("rank", block.alias("t"))))
-    joined = excerpts.groupBy("question_id").agg(F.first("question").alias("question"), F.array_join(F.transform(rows, lambda r: r["t"]), "\r\n\r\n").alias("body"))
-    return joined.select("question_id", F.concat(F.lit(system + "\r\n\r\n"), F.col("body"), F.lit("\r\n\r\nQuestion: "), F.col("question")).alias("prompt"))
+    joined = excerpts.groupBy("question_id").agg(F.first("question").alias("question"), F.array_join(F.transform(rows, lambda r: r["t"]), "").alias("body"))
+    user = F.concat(F.lit("Context excerpts:\n\n"), F.col("body"), F.lit("\nQuestion: "), F.col("question"))
+    return joined.select("question_id", F.lit("\r\n".join(system.splitlines())).alias("system"), user.alias("user"))
+
+
+def rerank_passage(context: Column, filing: Column, heading: Column, content: Column) -> Column:
+    """What a reranker reads of a chunk: its company line if there is one, the excerpt's place, the chunk."""
+    return F.concat_ws("\n", context, F.concat(F.lit("Excerpt from "), filing, F.lit(", section "), heading), content)
 
 
 def largest_prompt(chunks: DataFrame, tokens: str, k: int, system_tokens: int, spare: int = 100) -> DataFrame:
@@ -108,6 +117,14 @@ def blend(fused: DataFrame, kind: int) -> DataFrame:
     return fused.withColumn("blended", value)
 
 
+def weighted_fusion(scored: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """scored (question_id, key, a column for each weight): the weighted sum of scores scaled to 0..1 within a question; a missing score is 0."""
+    total = F.lit(0.0)
+    for name, weight in weights.items():
+        total = total + F.coalesce(min_max(name, "question_id"), F.lit(0.0)) * weight
+    return scored.withColumn("fused", total)
+
+
 def min_max(value: str, by: str) -> Column:
     w = Window.partitionBy(by)
     low, high = F.min(value).over(w), F.max(value).over(w)

@@ -1,8 +1,8 @@
-"""Registered queries over retrieval operators. Companies are `label`s, chunks are documents, questions a fixed few."""
+"""Registered queries over retrieval operators. Companies are `label`s, chunks are documents, questions the rows whose id is divisible by 20."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
@@ -10,18 +10,18 @@ from ledgerloom.operators import retrieval as R
 from ledgerloom.plans.registry import query
 from ledgerloom.storage import table
 
-#: The registered questions: five vectors, and five benchmark passages whose words are asked for.
-ASKED, TOP = 5, 10
+#: The registered questions: every vector and every benchmark passage whose id is divisible by EVERY.
+EVERY, TOP = 20, 10
 
 
 def _vectors(spark, d) -> tuple[DataFrame, DataFrame]:
     v = table(spark, d, "embeddings")
-    asked = v.where(F.col("vec_id") < ASKED).select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q"), F.col("label").alias("company"))
+    asked = v.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q"), F.col("label").alias("company"))
     return asked, v.select(F.col("vec_id").alias("key"), F.col("embedding").alias("v"), "label")
 
 
 def _terms(spark, d) -> DataFrame:
-    b = table(spark, d, "benchmark").where(F.col("item_id") < ASKED)
+    b = table(spark, d, "benchmark").where(F.col("item_id") % EVERY == 0)
     return b.select(F.col("item_id").alias("question_id"), F.explode(T.keyword_terms(F.col("text"))).alias("term"))
 
 
@@ -33,7 +33,7 @@ def _bm25(spark, d, k: int, allowed: DataFrame | None = None) -> DataFrame:
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _DIST = "round(list_cosine_distance(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9)"
 _WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
-_TERMS = f"terms AS (SELECT DISTINCT item_id AS question_id, w AS term FROM (SELECT item_id, unnest({_WORDS.format('text')}) AS w FROM benchmark WHERE item_id < {ASKED}) WHERE w NOT IN ({_STOP}) AND NOT regexp_full_match(w, '(19|20)[0-9][0-9]'))"
+_TERMS = f"terms AS (SELECT DISTINCT item_id AS question_id, w AS term FROM (SELECT item_id, unnest({_WORDS.format('text')}) AS w FROM benchmark WHERE item_id % {EVERY} = 0) WHERE w NOT IN ({_STOP}) AND NOT regexp_full_match(w, '(19|20)[0-9][0-9]'))"
 _BM25 = f"""{_TERMS},
 words AS (SELECT doc_id AS key, unnest({_WORDS.format('text')}) AS term FROM documents),
 lens AS (SELECT doc_id AS key, len({_WORDS.format('text')}) AS length FROM documents),
@@ -43,9 +43,9 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 bm AS (SELECT question_id, key, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score
   FROM tf JOIN df USING (term) JOIN lens USING (key) JOIN terms USING (term), stats GROUP BY ALL)"""
 _VEC = f"""vec AS (SELECT q.vec_id AS question_id, c.vec_id AS key, {_DIST} AS distance,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id < {ASKED})"""
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % {EVERY} = 0)"""
 _SAME = f"""same AS (SELECT q.vec_id AS question_id, c.vec_id AS key, {_DIST} AS distance,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id < {ASKED} AND q.label = c.label)"""
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % {EVERY} = 0 AND q.label = c.label)"""
 
 
 @query("vector_topk", f"WITH {_VEC} SELECT question_id, key, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM vec WHERE rank <= {TOP}")
@@ -87,7 +87,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 @query("bm25_topk_filtered", f"WITH {_BM25} SELECT question_id, key, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT bm.*, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, key) AS rank FROM bm JOIN documents ON doc_id = key WHERE lang = 'en') WHERE rank <= {TOP}")
 def bm25_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("key"))
-    questions = table(spark, d, "benchmark").where(F.col("item_id") < ASKED).select(F.col("item_id").alias("question_id"))
+    questions = table(spark, d, "benchmark").where(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("question_id"))
     return _bm25(spark, d, TOP, docs.join(F.broadcast(questions))).withColumn("score", F.round("score", 6))
 
 
@@ -133,29 +133,28 @@ def rrf_tie_order(spark: SparkSession, d: str) -> DataFrame:
     return R.fuse([spark.createDataFrame(x, "question_id int, key int, rank int") for x in rows], 99).select("question_id", "key", "rank")
 
 
-_PER = f"per AS (SELECT q.vec_id AS question_id, c.label AS company, c.vec_id AS key, row_number() OVER (PARTITION BY q.vec_id, c.label ORDER BY {_DIST}, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id < {ASKED} AND c.label < 3)"
+_PER = f"per AS (SELECT q.vec_id AS question_id, c.label AS company, c.vec_id AS key, row_number() OVER (PARTITION BY q.vec_id, c.label ORDER BY {_DIST}, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % {EVERY} = 0)"
 
 
-@query("interleave_companies", f"WITH {_PER}, kept AS (SELECT * FROM per WHERE rank <= 4), placed AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank, company) AS place FROM kept) SELECT question_id, company, key, CAST(rank AS INTEGER) AS rank, CAST(place AS INTEGER) AS place FROM placed WHERE place <= {TOP}")
+@query("interleave_companies", f"WITH {_PER}, many AS (SELECT question_id, count(DISTINCT company) AS n FROM per GROUP BY 1), kept AS (SELECT per.* FROM per JOIN many USING (question_id) WHERE rank <= ceil({TOP} / n::DOUBLE)), placed AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank, company) AS place FROM kept) SELECT question_id, company, key, CAST(rank AS INTEGER) AS rank, CAST(place AS INTEGER) AS place FROM placed WHERE place <= {TOP}")
 def interleave_companies(spark: SparkSession, d: str) -> DataFrame:
     asked, chunks = _vectors(spark, d)
-    of = chunks.where("label < 3")
-    pairs = of.join(F.broadcast(asked.drop("company"))).withColumn("distance", F.round(R.cosine_distance(F.col("v"), F.col("q")), 9))
+    pairs = chunks.join(F.broadcast(asked.drop("company"))).withColumn("distance", F.round(R.cosine_distance(F.col("v"), F.col("q")), 9))
     pairs = pairs.withColumn("group", F.struct("question_id", "label"))
     ranked = R.top(pairs, "group", [F.col("distance"), F.col("key")], TOP).select("question_id", F.col("label").alias("company"), "key", "rank")
     return R.interleave(ranked, TOP)
 
 
-_REL = f"rel AS (SELECT question_id, doc_id AS key, len(list_filter({_WORDS.format('text')}, lambda w: length(w) > 6)) AS relevance FROM documents, (SELECT DISTINCT question_id FROM terms))"
+_REL = f"rel AS (SELECT doc_id AS key, len(list_filter({_WORDS.format('text')}, lambda w: length(w) > 6)) AS relevance FROM documents)"
+_HYBRID = f"{_BM25}, {_VEC}, {_KW}, {_fused(['vec', 'kw'])}"
+_RERANK = f"{_HYBRID}, {_REL}, re AS (SELECT question_id, o.key, o.score, o.rank AS hybrid_rank, relevance, row_number() OVER (PARTITION BY question_id ORDER BY relevance DESC, o.rank) AS rank FROM ordered o JOIN rel ON o.key = rel.key WHERE o.rank <= 25)"
 
 
 def _candidates(spark, d) -> DataFrame:
+    """The fused list with what a reranker makes of each candidate: here its number of words of over six letters."""
     docs = table(spark, d, "documents")
     relevance = F.size(F.filter(T.words(F.col("text")), lambda w: F.length(w) > 6)).alias("relevance")
-    return _bm25(spark, d, R.DEPTH).join(docs.select(F.col("doc_id").alias("key"), relevance), "key")
-
-
-_RERANK = f"{_BM25}, {_KW}, {_REL}, re AS (SELECT kw.question_id, kw.key, kw.rank AS hybrid_rank, relevance, row_number() OVER (PARTITION BY kw.question_id ORDER BY relevance DESC, kw.rank) AS rank FROM kw JOIN rel ON kw.key = rel.key AND kw.question_id = rel.question_id WHERE kw.rank <= 25)"
+    return R.fuse(_lists(spark, d)[:2], R.DEPTH).join(docs.select(F.col("doc_id").alias("key"), relevance), "key")
 
 
 @query("rerank_stable", f"WITH {_RERANK} SELECT question_id, key, CAST(hybrid_rank AS INTEGER) AS hybrid_rank, relevance, CAST(rank AS INTEGER) AS rank FROM re WHERE rank <= {TOP}")
@@ -164,8 +163,7 @@ def rerank_stable(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _both_orders(spark, d) -> DataFrame:
-    again = R.rerank(_candidates(spark, d), 25, 25).withColumnRenamed("rank", "rerank_rank")
-    return again.withColumn("score", 1.0 / (R.RRF_K + F.col("hybrid_rank")))
+    return R.rerank(_candidates(spark, d), 25, 25).withColumnRenamed("rank", "rerank_rank")
 
 
 @query("blend2", f"WITH {_RERANK} SELECT question_id, key, round(1.0::DOUBLE / (60 + hybrid_rank) + 1.0::DOUBLE / (60 + rank), 6) AS blended FROM re")
@@ -173,28 +171,31 @@ def blend2(spark: SparkSession, d: str) -> DataFrame:
     return R.blend(_both_orders(spark, d), 2).select("question_id", "key", F.round("blended", 6).alias("blended"))
 
 
-@query("blend4", f"WITH {_RERANK} SELECT question_id, key, round(1.0::DOUBLE / (60 + hybrid_rank) + 1.0::DOUBLE / (60 + rank), 6) AS blended FROM re")
+@query("blend4", f"WITH {_RERANK} SELECT question_id, key, round(score + 1.0::DOUBLE / (60 + rank), 6) AS blended FROM re")
 def blend4(spark: SparkSession, d: str) -> DataFrame:
     return R.blend(_both_orders(spark, d), 4).select("question_id", "key", F.round("blended", 6).alias("blended"))
 
 
-@query("score_fusion", f"""WITH {_BM25}, t AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, key) AS rank FROM bm)
-SELECT question_id, key, round(coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0), 6) AS scaled FROM t WHERE rank <= {R.DEPTH} WINDOW w AS (PARTITION BY question_id)""")
-def score_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return _bm25(spark, d, R.DEPTH).select("question_id", "key", F.round(R.min_max("score", "question_id"), 6).alias("scaled"))
+_SCALED = "coalesce(({0} - min({0}) OVER w) / nullif(max({0}) OVER w - min({0}) OVER w, 0), 0)"
 
 
-_NEEDLES = "SELECT item_id AS question_id, text AS needle FROM benchmark"
+@query("score_fusion", f"""WITH {_BM25}, {_VEC}, t AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, key) AS rank FROM bm),
+j AS (SELECT coalesce(v.question_id, t.question_id) AS question_id, coalesce(v.key, t.key) AS key, 1 - v.distance AS near, t.score AS score
+  FROM (SELECT * FROM vec WHERE rank <= {R.DEPTH}) v FULL JOIN (SELECT * FROM t WHERE rank <= {R.DEPTH}) t ON v.question_id = t.question_id AND v.key = t.key)
+SELECT question_id, key, round({_SCALED.format("near")} * 0.7 + {_SCALED.format("score")} * 0.3, 6) AS fused FROM j WINDOW w AS (PARTITION BY question_id)""")
+def score_fusion(spark: SparkSession, d: str) -> DataFrame:
+    near = R.vector_topk(*_vectors(spark, d), R.DEPTH).select("question_id", "key", (1 - F.col("distance")).alias("near"))
+    both = near.join(_bm25(spark, d, R.DEPTH).select("question_id", "key", "score"), ["question_id", "key"], "full_outer")
+    return R.weighted_fusion(both, {"near": 0.7, "score": 0.3}).select("question_id", "key", F.round("fused", 6).alias("fused"))
 
 
-@query("prompt_assembly", f"""WITH {_BM25}, {_KW} SELECT question_id, 'Answer from the excerpts.' || chr(13) || chr(10) || chr(13) || chr(10)
- || string_agg('[' || rank || '] ' || source || chr(13) || chr(10) || d.text, chr(13) || chr(10) || chr(13) || chr(10) ORDER BY rank)
- || chr(13) || chr(10) || chr(13) || chr(10) || 'Question: ' || any_value(b.text) AS prompt
+@query("prompt_assembly", f"""WITH {_BM25}, {_KW} SELECT question_id, 'Answer from the excerpts.' || chr(13) || chr(10) || 'Name the filing.' AS system, 'Context excerpts:' || chr(10) || chr(10)
+ || string_agg('--- Excerpt from ' || source || ', section ' || lang || ' ---' || chr(10) || d.text || chr(10) || chr(10), '' ORDER BY rank) || chr(10) || 'Question: ' || any_value(b.text) AS user
  FROM kw JOIN documents d ON d.doc_id = kw.key JOIN benchmark b ON b.item_id = question_id WHERE rank <= 5 GROUP BY question_id""")
 def prompt_assembly(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("heading"), F.col("text").alias("content"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("filing"), F.col("lang").alias("heading"), F.col("text").alias("content"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    return R.prompt(_bm25(spark, d, 5).join(docs, "key").join(asked, "question_id"), "Answer from the excerpts.")
+    return R.prompt(_bm25(spark, d, 5).join(docs, "key").join(asked, "question_id"), "Answer from the excerpts.\nName the filing.")
 
 
 @query("prompt_fit", "SELECT CAST(coalesce(sum(t), 0) + 300 + 100 AS BIGINT) AS tokens FROM (SELECT len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents ORDER BY t DESC LIMIT 5)")
@@ -202,32 +203,20 @@ def prompt_fit(spark: SparkSession, d: str) -> DataFrame:
     return R.largest_prompt(R.lengths(table(spark, d, "documents"), "doc_id", "text"), "length", 5, 300)
 
 
-_LEXICON = (("promo", "marketing"), ("economy", "retail"), ("brushed steel", "industry"), ("steel", "raw"), ("tin", "raw"), ("standard", "retail"))
-_VALUES = ", ".join(f"('{k}', '{t}')" for k, t in _LEXICON)
-
-
-def _resolved(text: Column) -> Column:
-    entries = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in _LEXICON))
-    hit = F.filter(entries, lambda e: F.contains(F.lower(text), e["k"]))
-    longest = F.filter(hit, lambda e: ~F.exists(hit, lambda o: (o["k"] != e["k"]) & F.contains(o["k"], e["k"])))
-    kinds = F.array_distinct(F.transform(longest, lambda e: e["t"]))
-    return F.when(F.size(kinds) == 1, kinds[0])
+_LEXICON = {"marketing": ("promo",), "retail": ("economy", "standard"), "industry": ("brushed steel",), "raw": ("steel", "tin")}
+_VALUES = ", ".join(f"('{k}', '{t}')" for t, ks in _LEXICON.items() for k in ks)
 
 
 @query("lexicon_resolve_longest", f"""WITH lex(k, t) AS (VALUES {_VALUES}), hit AS (SELECT p_partkey, k, t FROM part, lex WHERE contains(lower(p_type), k)),
 kept AS (SELECT * FROM hit h WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.p_partkey = h.p_partkey AND o.k <> h.k AND contains(o.k, h.k)))
 SELECT p.p_partkey, CASE WHEN count(DISTINCT t) = 1 THEN min(t) END AS resolved FROM part p LEFT JOIN kept USING (p_partkey) GROUP BY 1""")
 def lexicon_resolve_longest(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", _resolved(F.col("p_type")).alias("resolved"))
-
-
-_SYNTHESIS = ("compare", "difference between", "trend", "ratio", "growth rate", "the", "versus")
+    return table(spark, d, "part").select("p_partkey", T.statement_of_question(F.col("p_type"), _LEXICON).alias("resolved"))
 
 
-@query("synthesis_flag", "SELECT conv_id, turn, " + " OR ".join(f"contains(lower(text), '{w}')" for w in _SYNTHESIS) + " AS synthesis FROM conversations")
+@query("synthesis_flag", "SELECT conv_id, turn, " + " OR ".join(f"contains(lower(text), '{w}')" for w in T.SYNTHESIS) + " AS synthesis FROM conversations")
 def synthesis_flag(spark: SparkSession, d: str) -> DataFrame:
-    lexicon = F.array(*(F.lit(w) for w in _SYNTHESIS))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.exists(lexicon, lambda w: F.contains(F.lower("text"), w)).alias("synthesis"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.needs_synthesis(F.col("text")).alias("synthesis"))
 
 
 @query("whole_word_route", """SELECT s.p_partkey, list_sort(list(r.w) FILTER (r.w IS NOT NULL)) AS routed FROM part s LEFT JOIN (VALUES ('tin'), ('steel'), ('copper'), ('brass'), ('nickel')) r(w)
