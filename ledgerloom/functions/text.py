@@ -190,10 +190,11 @@ def concept_of(fragment: Column) -> Column:
 
 
 def role_definition(text: Column) -> Column:
-    """struct(sort_code, type, title) of `code - Type - Title`; without three parts type is unknown."""
+    """struct(sort_code, type, title) of `code - Type - Title`; without three parts the type is `(unknown)`, the code empty."""
     parts = F.split(text, " - ", 3)
     whole = F.size(parts) == 3
-    return F.struct(F.when(whole, parts[0]).alias("sort_code"), F.when(whole, parts[1]).otherwise("Unknown").alias("type"), F.when(whole, parts[2]).otherwise(text).alias("title"))
+    at = lambda k: F.try_element_at(parts, F.lit(k))
+    return F.struct(F.when(whole, at(1)).otherwise("").alias("sort_code"), F.when(whole, at(2)).otherwise("(unknown)").alias("type"), F.when(whole, at(3)).otherwise(text).alias("title"))
 
 
 def escaped(text: Column) -> Column:
