@@ -108,28 +108,35 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, share: float | None = None, r
     return Model(words[used], w, (float(theta), float(theta + np.exp(gap))))
 
 
-def best_cut(chance: np.ndarray, toxic: np.ndarray) -> float:
-    """Half-way between the two chances where toxic documents caught and clean ones left alone are the most, as shares."""
+def best_cut(chance: np.ndarray, toxic: np.ndarray, otherwise: float = 0.5) -> float:
+    """Half-way between the two chances where toxic documents caught and clean ones left alone are the most, as shares.
+
+    Of several such places the one that leaves most clean ones alone; `otherwise` if none is better than no cut at all.
+    """
     order = np.argsort(chance, kind="stable")
     p, y = chance[order], toxic[order].astype(bool)
-    clean = np.concatenate([[0], np.cumsum(~y)]) / max(1, (~y).sum())
-    caught = 1 - np.concatenate([[0], np.cumsum(y)]) / max(1, y.sum())
-    apart = np.concatenate([[True], p[1:] > p[:-1], [True]])  # equal chances are on one side
-    at = int(np.argmax(np.where(apart, clean + caught, -1)))
-    return float((p[max(0, at - 1)] + p[min(at, len(p) - 1)]) / 2)
+    if not y.any() or y.all():
+        return otherwise
+    clean = np.cumsum(~y)[:-1] / (~y).sum()
+    caught = 1 - np.cumsum(y)[:-1] / y.sum()
+    total = np.where(p[1:] > p[:-1], clean + caught, -1)  # equal chances are on one side
+    at = len(total) - 1 - int(np.argmax(total[::-1]))
+    return float((p[at] + p[at + 1]) / 2) if total[at] > 1 else otherwise
 
 
 def fit_with_cut(docs: list[np.ndarray], toxic: np.ndarray, share: float | None = None, folds: int = FOLDS) -> Model:
-    """A model of all documents, its cut chosen by models that have not seen what they judge."""
+    """A model of all documents, its cut chosen by models that have not seen what they judge; a text without features stays below it."""
     model = fit(docs, toxic, share)
     if len(model.words):
-        fold, chance = np.arange(len(docs)) % folds, np.zeros(len(docs))
+        fold, chance, seen = np.arange(len(docs)) % folds, np.zeros(len(docs)), np.zeros(len(docs), bool)
         for k in range(folds):
             learned = np.flatnonzero(fold != k)
             other = fit([docs[i] for i in learned], toxic[learned], share)
-            for i in np.flatnonzero(fold == k):
-                chance[i] = other.chances(docs[i])[0]
-        model.cut = best_cut(chance, toxic)
+            if len(other.words):  # a fold too small to learn a word from judges nothing
+                held = np.flatnonzero(fold == k)
+                chance[held], seen[held] = [other.chances(docs[i])[0] for i in held], True
+        base = model.chances(())[0]
+        model.cut = max(best_cut(chance[seen], toxic[seen]), base + 1e-9)
     return model
 
 
