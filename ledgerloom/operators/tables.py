@@ -1,0 +1,240 @@
+"""Tables of cells as lines that carry their column labels: grid, header, rows, rendering, and a check that no text is lost.
+
+A table is a list of rows, a row a list of `Cell`. Where a rule fails the table falls back to its plain rows, with the
+reason; every cell's text is in the rendering in either case.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+OPENS, CLOSES = re.compile(r"[$€£(]+"), re.compile(r"[)%]+")
+NUMBER = re.compile(r"[$€£]?\s*\(?\s*[$€£]?\s*-?\d[\d,]*(?:\.\d+)?\s*\)?\s*%?\s*\)?")
+DASH = re.compile(r"[$€£]?\s*[-–—]+\s*%?")
+YEAR = re.compile(r"(?:19|20)\d\d")
+UNITS = re.compile(r"\(?(?:\w+ )?in (?:thousands|millions|billions)\b.*", re.I | re.S)
+PERIOD = re.compile(r"(?:(?:fiscal )?years?|(?:three|six|nine|twelve) months|quarters?|as of|at)\b.*(?:ended|of|at|january|february|march|april|may|june|july|august|september|october|november|december)\b.*", re.I | re.S)
+#: Longer texts are no number, no units and no period; a header has so many rows at most, else the table keeps its plain rows.
+MOST_VALUE, MOST_CAPTION, MOST_HEADER = 40, 200, 12
+MOST_COLUMNS, MOST_CELLS = 1000, 1_000_000
+
+
+@dataclass
+class Cell:
+    """A cell's text and how many columns and rows it takes."""
+
+    text: str
+    columns: int = 1
+    rows: int = 1
+
+
+@dataclass
+class Placed:
+    """A text and the columns start to end (exclusive) that it stands over."""
+
+    start: int
+    end: int
+    text: str
+
+
+@dataclass
+class Table:
+    units: str | None = None
+    columns: list[str] = field(default_factory=list)
+    rows: list[tuple[tuple[str, ...], list[tuple[str | None, str]]]] = field(default_factory=list)
+    plain: list[str] = field(default_factory=list)
+    fallback: str | None = None
+
+
+class Irregular(ValueError):
+    """A table whose rows cannot be told apart by the rules."""
+
+
+def is_value(text: str) -> bool:
+    """A number or a dash, but no bare year."""
+    return bool(len(text) <= MOST_VALUE and not YEAR.fullmatch(text) and (NUMBER.fullmatch(text) or DASH.fullmatch(text)))
+
+
+def grid(table: list[list[Cell]]) -> list[list[Placed]]:
+    """The cells with text, each where its column begins; a cell over several rows holds its columns in the rows below."""
+    held: dict[int, int] = {}  # column -> rows below that it is still taken in
+    out, cells = [], 0
+    for row in table:
+        placed, at, taken = [], 0, {}
+        for cell in row:
+            while held.get(at, 0):
+                at += 1
+            width = max(1, cell.columns)
+            if at + width > MOST_COLUMNS:
+                raise Irregular("too many columns")
+            cells += width
+            if cells > MOST_CELLS:
+                raise Irregular("too many cells")
+            if cell.text:
+                placed.append(Placed(at, at + width, cell.text))
+            if cell.rows > 1:
+                taken.update(dict.fromkeys(range(at, at + width), cell.rows - 1))
+            at += width
+        held = {c: n - 1 for c, n in held.items() if n > 1} | taken
+        out.append(placed)
+    return out
+
+
+def merged(row: list[Placed]) -> list[Placed]:
+    """`$` and `(` joined to the cell after them, `)` and `%` to that before them; a currency sign with none after stays."""
+    out: list[Placed] = []
+    for cell in row:
+        before = out[-1] if out else None
+        if before is not None and (OPENS.fullmatch(before.text) or (CLOSES.fullmatch(cell.text) and NUMBER.match(before.text[:MOST_VALUE].lstrip("(")))):
+            out[-1] = Placed(before.start, cell.end, before.text + cell.text)
+        else:
+            out.append(cell)
+    return out
+
+
+def _units(text: str) -> bool:
+    return len(text) <= MOST_CAPTION and bool(UNITS.fullmatch(text))
+
+
+def _period(text: str) -> bool:
+    return len(text) <= MOST_CAPTION and bool(PERIOD.fullmatch(text))
+
+
+def _over(a: Placed, b: Placed) -> bool:
+    return a.start < b.end and b.start < a.end
+
+
+def _leaves(header: list[list[Placed]]) -> list[tuple[Placed, str]]:
+    """The columns and their labels: what spans a column first, the widest first, then what stands over it alone, from above."""
+    cells = [c for row in header for c in row]
+    # What spans: more than one cell of one other row lies under or over it.
+    spans = [c for c in cells if any(sum(_over(c, o) for o in row) > 1 for row in header if all(o is not c for o in row))]
+    single = sorted((c for c in cells if all(c is not s for s in spans)), key=lambda c: (c.start, c.end))
+    leaves: list[tuple[Placed, list[Placed]]] = []
+    for cell in single:
+        if leaves and leaves[-1][0].end > cell.start:
+            own, parts = leaves[-1]
+            leaves[-1] = (Placed(min(own.start, cell.start), max(own.end, cell.end), ""), [*parts, cell])
+        else:
+            leaves.append((cell, [cell]))
+    depth = {id(c): k for k, row in enumerate(header) for c in row}
+    out = []
+    for place, parts in leaves:
+        above = sorted((s for s in spans if _over(s, place)), key=lambda s: (s.start - s.end, depth[id(s)]))
+        own = sorted(parts, key=lambda c: depth[id(c)])
+        out.append((place, " ".join(c.text for c in (*above, *own))))
+    return out
+
+
+def linearised(table: list[list[Cell]]) -> Table:
+    """The table's rows with labelled values, or its plain rows and the reason why it could not be read so."""
+    try:
+        rows = [r for r in map(merged, grid(table)) if r]
+    except Irregular as why:
+        plain = [" | ".join(c.text for c in row if c.text) for row in table]
+        return Table(plain=[p for p in plain if p], fallback=str(why))
+    plain = [" | ".join(c.text for c in row) for row in rows]
+    try:
+        found = _read(rows)
+        lost = next(iter(_unsaid({c.text for row in rows for c in row}, found)), None)
+        if lost is not None:
+            raise Irregular(f"lost: {lost}")
+        return found
+    except Irregular as why:
+        return Table(plain=plain, fallback=str(why))
+
+
+def _unsaid(texts: set[str], table: Table) -> set[str]:
+    """The texts that are no label or value of a rendered row and in no column label."""
+    shown = {v for _, values in table.rows for _, v in values} | {p for path, _ in table.rows for p in path} | {table.units}
+    columns = "\n".join(table.columns)
+    return {t for t in texts - shown if t not in columns}
+
+
+def _read(rows: list[list[Placed]]) -> Table:
+    first = next((k for k, row in enumerate(rows) if any(c.start > 0 and is_value(c.text) for c in row)), None)
+    if first is None:
+        raise Irregular("no row of values")
+    header, body = rows[:first], rows[first:]
+    if first > MOST_HEADER:
+        raise Irregular("a header of too many rows")
+    # Labels without values just above the first row are a group of the body, not part of the header.
+    while header and len(header) > 1 and len(header[-1]) == 1 and header[-1][0].start == 0 and not _units(header[-1][0].text) and not _period(header[-1][0].text):
+        body.insert(0, header.pop())
+    edge = min((c.start for row in body for c in row if is_value(c.text) and c.start > 0), default=1)
+    out, captions, titles = Table(), [], []
+    over: list[list[Placed]] = []
+    for row in header:
+        own = []
+        for cell in row:
+            if _units(cell.text):
+                if out.units is not None:
+                    raise Irregular("two statements of units")
+                out.units = cell.text
+            elif cell.end <= edge:
+                (captions if _period(cell.text) else titles).append(cell.text)
+            elif cell.start < edge and len(row) == 1:
+                titles.append(cell.text)
+            else:
+                own.append(cell)
+        if own:
+            over.append(own)
+    leaves = _leaves(over)
+    caption = " ".join(captions)
+    out.columns = [f"{caption} {label}".strip() for _, label in leaves]
+    if not leaves:
+        titles = captions + titles
+    out.rows.extend(((t,), []) for t in titles)
+    group: list[str] = []
+    for row in body:
+        label, values = "", row
+        if row[0].start < edge and not (leaves and any(_over(row[0], p) for p, _ in leaves) and is_value(row[0].text)):
+            label, values = row[0].text, row[1:]
+        if not values:
+            group = [label]
+            out.rows.append(((label,), []))
+            continue
+        found = []
+        for cell in values:
+            at = [k for k, (place, _) in enumerate(leaves) if _over(cell, place)]
+            if len(at) > 1:
+                raise Irregular(f"under several columns: {cell.text}")
+            if leaves and not at and is_value(cell.text):
+                raise Irregular(f"under no column: {cell.text}")
+            found.append((out.columns[at[0]] if at and is_value(cell.text) else None, cell.text))
+        out.rows.append(((*group, label) if label else tuple(group), found))
+        if label.lower().startswith("total"):
+            group = []
+    return out
+
+
+def shared_prefix(labels: list[str]) -> str:
+    """The longest run of whole words that all labels begin with, short of any label's whole; empty for fewer than two."""
+    words = [label.split() for label in labels]
+    n = 0
+    while len(words) > 1 and all(len(w) > n + 1 for w in words) and len({w[n] for w in words}) == 1:
+        n += 1
+    return " ".join(words[0][:n]) if n else ""
+
+
+def rendered(table: Table) -> list[str]:
+    """Lines `group > label — column: value | column: value`; several values under one column are joined by ` / `."""
+    if table.fallback is not None:
+        return table.plain
+    lines = [table.units] if table.units else []
+    for path, values in table.rows:
+        label = " > ".join(path)
+        if values and all(c is None for c, _ in values) and not all(is_value(v) for _, v in values):
+            lines.append(" | ".join([*path[-1:], *(v for _, v in values)]))
+            continue
+        parts: list[list[str | None]] = []
+        for column, value in values:
+            if parts and column is not None and parts[-1][0] == column:
+                parts[-1][1] += f" / {value}"
+            else:
+                parts.append([column, value])
+        said = " | ".join(v if c is None else f"{c}: {v}" for c, v in parts)
+        lines.append(f"{label} — {said}" if said and label else said or label)
+    used = {c for _, values in table.rows for c, _ in values}
+    return [*lines, *(c for c in table.columns if c and c not in used)]

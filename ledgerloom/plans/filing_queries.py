@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import chunking as C
 from ledgerloom.operators import sections as S
 from ledgerloom.plans.registry import query
+from ledgerloom.sources.blocks import blocks
 from ledgerloom.storage import table
 
 _LINE = """CASE event_type WHEN 'signup' THEN 'PART ' || (['I', 'II', 'III', 'IV'])[event_id % 4 + 1] WHEN 'purchase' THEN 'Item ' || (event_id % 15) || '. Topic ' || event_id
@@ -47,3 +48,9 @@ def chunk_budget(spark: SparkSession, d: str) -> DataFrame:
     """Whole documents as sections, packed to 200 tokens; held against invariants and golden cases in the tests."""
     docs = table(spark, d, "documents").select(F.col("source").alias("filing"), F.col("doc_id").alias("section"), F.col("lang").alias("heading"), F.col("text").alias("body"))
     return C.chunked(docs, 200, 20)
+
+
+@query("html_blocks")
+def html_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of all pages; held against fixtures in the tests."""
+    return blocks(table(spark, d, "pages"))
