@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,13 +31,13 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int, condition: Colu
     return top(scored, "question_id", [F.col("distance"), F.col("key")], k).select("question_id", "key", "distance", "rank")
 
 
-def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf)."""
-    return chunks.select(F.col(key).alias("key"), F.explode(words(F.col(text))).alias("term")).groupBy("term", "key").agg(F.count(F.lit(1)).alias("tf"))
+def postings(chunks: DataFrame, key: str, text: str, split: Callable[[Column], Column] = words) -> DataFrame:
+    """(term, key, tf). `split` makes the terms of a text; questions have to be split alike."""
+    return chunks.select(F.col(key).alias("key"), F.explode(split(F.col(text))).alias("term")).groupBy("term", "key").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def lengths(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    return chunks.select(F.col(key).alias("key"), F.size(words(F.col(text))).cast("long").alias("length"))
+def lengths(chunks: DataFrame, key: str, text: str, split: Callable[[Column], Column] = words) -> DataFrame:
+    return chunks.select(F.col(key).alias("key"), F.size(split(F.col(text))).cast("long").alias("length"))
 
 
 def bm25(questions: DataFrame, index: DataFrame, sizes: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
+from ledgerloom.functions.stems import stemmed_words
 from ledgerloom.operators import retrieval as R
 from ledgerloom.plans.registry import query
 from ledgerloom.storage import table
@@ -69,6 +70,12 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
     return R.postings(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query("stemmed_postings")
+def stemmed_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The index over stems; DuckDB has no stemmer offline, so it is held against a plain count in the tests."""
+    return R.postings(table(spark, d, "documents"), "doc_id", "text", stemmed_words)
+
+
 @query("doc_lengths", f"SELECT doc_id AS key, len({_WORDS.format('text')}) AS length FROM documents")
 def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
     return R.lengths(table(spark, d, "documents"), "doc_id", "text")
