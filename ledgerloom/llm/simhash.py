@@ -8,7 +8,10 @@ such a key, nodes that share one are within two bits, and no key has more than 6
 each to the least node of its key loses no link and makes no pairs.
 
 `near_texts`: texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more. Equal texts
-are one node, known by a number of its own and not by an id, as different texts may share one. Candidates come from a prefix filter, which loses no pair: shingles are put into one order
+are one node, known by a number of its own and not by an id, as different texts may share one. Candidates
+come from their fingerprints first, by the same search as above (`fingerprint_pairs`), and an exact check of
+the sets follows. No Hamming radius holds all pairs of that similarity, so what this leaves in different
+groups is then searched by a prefix filter, which loses no pair: shingles are put into one order
 for all sets, and two similar sets share a shingle among the first n - ceil(0.8 n) + 1 of each. Any order
 is exact; shingles that are common in a bounded sample come last, so that prefixes hold rare ones. In
 buckets of more than NEAR_CAP nodes each node is compared with PIVOTS of them first, those whose
@@ -133,6 +136,14 @@ def links(nodes: DataFrame, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
     return found.union(stars)
 
 
+def fingerprint_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b), a < b: pairs that connect all nodes (id, fp; fps may repeat) with equal fingerprints or some within `radius` bits."""
+    heads = cut(nodes.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "heads")
+    equal = nodes.join(heads.where("n > 1").select("fp", F.col("id").alias("head")), "fp").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    near = links(heads.select("id", "fp"), radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return equal.union(near).distinct()
+
+
 def fingerprint_links(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fp, component_id, copies): the least id that links reach, and how many rows share the fingerprint."""
     rows = cut(fingerprints(docs, size, id_column, text_column), "fingerprints")
@@ -200,24 +211,26 @@ def _common(docs: DataFrame, text_column: str, size: int) -> tuple[np.ndarray, n
 
 
 def _signatures(docs: DataFrame, id_column: str, text_column: str, size: int, similarity: float) -> DataFrame:
-    """(id, digest, n, s0, ..., prefix): the number of distinct shingles, the sketch and the first shingles in the order."""
+    """(id, digest, n, fp, s0, ..., prefix): the number of distinct shingles, the fingerprint, the sketch and the first shingles in the order."""
     common, places = _common(docs, text_column, size)
     names = [f"s{k}" for k in range(SKETCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "b"):
-                own = [shingle_set(t or b"", size) for t in batch.column("b").to_pylist()]
+                texts = [t or b"" for t in batch.column("b").to_pylist()]
+                own = [shingle_set(t, size) for t in texts]
+                fps = pa.array([fingerprint(t) for t in texts], pa.int64())
                 found = np.array([parities(x) for x in own], np.int64).reshape(-1, SKETCH)
                 first = [prefix(x, common, places, similarity) for x in own]
                 columns = [pa.array(np.ascontiguousarray(found[:, k])) for k in range(SKETCH)]
                 ends = pa.array(np.cumsum([0, *map(len, first)], dtype=np.int32))
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array([len(x) for x in own], pa.int32()), *columns, lists], ["id", "digest", "n", *names, "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array([len(x) for x in own], pa.int32()), fps, *columns, lists], ["id", "digest", "n", "fp", *names, "prefix"])
 
     text = F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))
     plain = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.md5(text).alias("digest"), text.alias("b"))
-    return plain.mapInArrow(run, ", ".join(["id long, digest string, n int", *(f"{n} long" for n in names), "prefix array<long>"]))
+    return plain.mapInArrow(run, ", ".join(["id long, digest string, n int, fp long", *(f"{n} long" for n in names), "prefix array<long>"]))
 
 
 def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str, text_column: str, size: int) -> DataFrame:
@@ -256,14 +269,11 @@ def near_texts(
     # Most texts are alone; only those that a filter takes for repeated ones are exchanged with their prefixes.
     again = shelf.cut(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("digest"), "repeated")
     repeated = Bloom(again, ["digest"]).may_hold("digest")
-    once = rows.where(~repeated).select("digest", F.col("id").alias("least"), "n", *sketch, "prefix")
-    texts = rows.where(repeated).groupBy("digest").agg(F.min("id").alias("least"), F.min(F.struct("n", *sketch, "prefix")).alias("x"))
+    once = rows.where(~repeated).select("digest", F.col("id").alias("least"), "n", "fp", *sketch, "prefix")
+    texts = rows.where(repeated).groupBy("digest").agg(F.min("id").alias("least"), F.min(F.struct("n", "fp", *sketch, "prefix")).alias("x"))
     nodes = shelf.cut(once.union(texts.select("digest", "least", "x.*")).withColumn("id", F.monotonically_increasing_id()), "texts")
     rows = shelf.cut(rows.select("id", "digest"), "rows")
     shelf.drop("signatures")
-    indexed = nodes.select("id", "n", F.posexplode("prefix").alias("at", "key"))
-    sizes = shelf.cut(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
-    shared = shelf.cut(indexed.join(sizes, "key"), "shared-buckets")
     needed = similarity * (F.col("a_n") + F.col("b_n")) - 1e-6  # times 1 + similarity: how many shingles such sets share
     # What sets can share if this is the first that they do.
     ahead = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) * (1 + similarity) >= needed
@@ -274,18 +284,17 @@ def near_texts(
     alike = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity - 1e-6
 
     def met(left: DataFrame, right: DataFrame, columns: list[str], when) -> DataFrame:
-        x, y = (df.select("key", *(F.col(n).alias(f"{k}_{n}") for n in ("id", "n", "at", *columns))) for df, k in ((left, "a"), (right, "b")))
-        return x.join(y, (x["key"] == y["key"]) & when & alike)
+        x, y = (df.select("key", *(F.col(n).alias(f"{k}_{n}") for n in ("id", "n", "at", "group", *columns))) for df, k in ((left, "a"), (right, "b")))
+        return x.join(y, (x["key"] == y["key"]) & (F.col("a_group") != F.col("b_group")) & when & alike)
 
     def pairs(left: DataFrame, right: DataFrame, columns: list[str], when) -> DataFrame:
         found = met(left, right, columns, when & ahead).select(F.when(F.col("a_id") < F.col("b_id"), F.struct(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_n", "b_n")).otherwise(F.struct(F.col("b_id").alias("a"), F.col("a_id").alias("b"), F.col("b_n").alias("a_n"), F.col("a_n").alias("b_n"))).alias("p"))
         return found.select("p.*").distinct()
 
-    def sketched(candidates: DataFrame) -> DataFrame:
-        """(a, b, a_n, b_n, ...) with the sketches of both and how many crowded buckets each is in."""
+    def told(candidates: DataFrame, facts: DataFrame) -> DataFrame:
+        """(a, b, ...) with the facts (id, ...) of both."""
         for k in ("a", "b"):
-            own = nodes.join(crowd.select("id", "places"), "id", "left").select(F.col("id").alias(k), F.coalesce("places", F.lit(0)).alias(f"{k}_places"), *(F.col(n).alias(f"{k}_{n}") for n in sketch))
-            candidates = candidates.join(own, k)
+            candidates = candidates.join(facts.select(*(F.col(c).alias(k if c == "id" else f"{k}_{c}") for c in facts.columns)), k)
         return candidates
 
     def linked(candidates: DataFrame) -> DataFrame:
@@ -301,6 +310,19 @@ def near_texts(
         shelf.drop("shingle-sets", "to-verify")
         return found
 
+    # What the search by fingerprints finds and the exact check confirms; all that follows looks only between these groups.
+    met_by_print = told(fingerprint_pairs(nodes.select("id", "fp")), nodes.select("id", "n", *sketch)).where(alike & possible).select("a", "b")
+    met_by_print = shelf.cut(met_by_print, "fingerprint-pairs")
+    by_print = linked(met_by_print)
+    groups = shelf.cut(components(by_print), "fingerprint-groups").select(F.col("node").alias("id"), F.col("component").alias("g"))
+    entry = ["id", "n", "prefix"]
+    grouped = Bloom(groups, ["id"]).may_hold("id")  # only nodes that may be in a group are exchanged with their prefixes
+    alone = nodes.where(~grouped).select(*entry, F.col("id").alias("group"))
+    nodes_in = alone.union(nodes.where(grouped).join(groups, "id", "left").select(*entry, F.coalesce("g", "id").alias("group")))
+    indexed = nodes_in.select("id", "n", "group", F.posexplode("prefix").alias("at", "key"))
+    sizes = shelf.cut(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
+    shared = shelf.cut(indexed.join(sizes, "key"), "shared-buckets")
+
     few, crowded = shared.where(F.col("rows") <= cap), shared.where(F.col("rows") > cap)
     crowd = shelf.cut(crowded.groupBy("id").agg(F.sum("rows").alias("popular"), F.count(F.lit(1)).alias("places")), "crowds")
     many = crowded.join(crowd.drop("places"), "id")
@@ -311,10 +333,11 @@ def near_texts(
     loose = together.agg(F.count(F.lit(1)).alias("common"), F.max("a_n").alias("a_n"), F.max("b_n").alias("b_n"), F.max(ahead).alias("ahead")).where("ahead")
     rest = F.ceil(F.greatest("a_n", "b_n") * similarity - 1e-9) - 1
     shares = (F.col("common") + F.least("a_places", "b_places") + rest) * (1 + similarity) >= needed
-    held = pairs(crowded, first, [], F.col("a_id") != F.col("b_id"))
-    found = sketched(loose.drop("ahead")).where(shares & possible).select("a", "b").union(sketched(held).where(possible).select("a", "b"))
-    found = shelf.cut(found.distinct(), "candidates")
-    joined = linked(found)
+    held = pairs(crowded, first, [], F.lit(True))
+    facts = nodes.join(crowd.select("id", "places"), "id", "left").select("id", F.coalesce("places", F.lit(0)).alias("places"), *sketch)
+    found = told(loose.drop("ahead"), facts).where(shares & possible).select("a", "b").union(told(held, facts).where(possible).select("a", "b"))
+    found = shelf.cut(found.distinct().join(met_by_print, ["a", "b"], "left_anti"), "candidates")
+    joined = by_print.union(linked(found))
     groups = shelf.cut(components(joined), "groups")
     # What the pivots left apart: nodes of large buckets in another group than the first pivot's.
     group = groups.select(F.col("node").alias("id"), F.col("component").alias("g"))
@@ -324,8 +347,8 @@ def near_texts(
     # Only nodes of these buckets need their sketches here.
     with_sketch = lambda df: df.join(nodes.select("id", *sketch), "id")
     others = with_sketch(placed.join(apart.select("key").distinct(), "key", "left_semi"))
-    more = pairs(with_sketch(apart), others, ["group", *sketch], (F.col("a_group") != F.col("b_group")) & possible).select("a", "b").distinct()
-    more = shelf.cut(more.join(found, ["a", "b"], "left_anti"), "more")
+    more = pairs(with_sketch(apart), others, sketch, possible).select("a", "b").distinct()
+    more = shelf.cut(more.join(found.union(met_by_print), ["a", "b"], "left_anti"), "more")
     if more.head(1):
         groups = shelf.cut(components(joined.union(linked(more))), "all-groups")
     labelled = nodes.select("id", "digest", "least").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -45,6 +45,26 @@ def test_near_texts_against_brute_force(spark):
     assert found == dict(enumerate(group))
 
 
+def test_fingerprint_pairs_connect_all_within_two_bits(spark):
+    rng = random.Random(5)
+    fps = [rng.getrandbits(64) for _ in range(60)]
+    fps += [f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in fps[:30] for _ in range(2)]
+    fps += [fps[0] ^ (1 << b) for b in range(64)] * 2 + fps[:10]  # a crowded bucket, and equal ones
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    found = simhash.fingerprint_pairs(spark.createDataFrame(list(enumerate(signed)), "id long, fp long")).collect()
+    pairs = [(r["a"], r["b"]) for r in found]
+    assert all(a < b for a, b in pairs) and len(pairs) == len(set(pairs))
+
+    def groups(links):
+        group = list(range(len(fps)))
+        for a, b in links:
+            low, high = sorted((group[a], group[b]))
+            group = [low if g == high else g for g in group]
+        return group
+
+    assert groups(pairs) == groups((a, b) for b in range(len(fps)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= 2)
+
+
 def share(a, b):
     a, b = (set(simhash.shingle_set(t.encode()).tolist()) for t in (a, b))
     return len(a & b) / len(a | b)

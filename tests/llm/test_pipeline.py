@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import corpus_pipeline as P
+from ledgerloom.llm import simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,6 +37,18 @@ def test_one_id_with_two_texts_loses_neither(spark):
         assert sorted((r["doc_id"], r["text"]) for r in P.drop_near_copies(spark, docs, SF).collect()) == [(1, a), (2, other)]
 
 
+def test_near_copies_are_searched_by_fingerprint_before_the_prefix_filter(spark, monkeypatch):
+    base = [[f"t{k}w{j}" for j in range(n)] for k, n in ((1, 1000), (0, 40))]
+    texts = [" ".join(x) for b in base for x in (b, [*b[:-1], "changed"])]
+    apart = [(simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())) & (1 << 64) - 1 for a, b in (texts[:2], texts[2:])]
+    assert apart[0].bit_count() <= 2 < apart[1].bit_count()  # only one of the two copies is within the operator's radius
+    asked, jaccard = [], simhash._jaccard
+    monkeypatch.setattr(simhash, "_jaccard", lambda pairs, sets: asked.append(pairs.count()) or jaccard(pairs, sets))
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in P.drop_near_copies(spark, docs, SF).collect()) == [0, 2]
+    assert asked == [1, 1]
+
+
 def test_run(spark):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     pieces = defaultdict(list)
