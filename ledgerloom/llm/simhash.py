@@ -13,7 +13,8 @@ come from their fingerprints first, by the same search as above (`fingerprint_pa
 the sets follows. No Hamming radius holds all pairs of that similarity, so what this leaves in different
 groups is then searched by a prefix filter, which loses no pair: shingles are put into one order
 for all sets, and two similar sets share a shingle among the first n - ceil(0.8 n) + 1 of each. Any order
-is exact; shingles that are common in a bounded sample come last, so that prefixes hold rare ones. In
+is exact; shingles that are common in a bounded sample, or repeat within blocks of all texts, come last, so
+that prefixes hold rare ones: a sample alone tells ever fewer of them apart as the table grows. In
 buckets of more than NEAR_CAP nodes each node is compared with PIVOTS of them first, those whose
 buckets are largest over all of their prefix: what many texts are edited from shares more buckets than any edit of
 it. Then every node that is not yet connected with the bucket's first pivot is compared with all nodes of
@@ -47,8 +48,10 @@ from ledgerloom.storage import Shelf, cut
 
 SHINGLE, RADIUS, SEED, CAP = 3, 2, 42, 64
 NEAR_SHINGLE, SIMILARITY, NEAR_CAP, PIVOTS = 5, 0.8, 8, 2
-#: Texts that are sampled for the order of shingles, and how many of the most common shingles are told apart.
-SAMPLE, COMMON = 16_384, 65_536
+#: Texts that are sampled for the order of shingles, and places of the table that tells how common they are (4 MB); half of them are used at most.
+SAMPLE, PLACES = 16_384, 1 << 22
+#: Shingles among which a task counts repeats at a time (32 MB).
+BLOCK = 1 << 22
 HOT_SHARE = 1000
 #: Longs of a sketch of parities, and of the wider one of sets with more shingles than WIDE.
 SKETCH, WIDE_SKETCH, WIDE = 8, 256, 1024
@@ -180,19 +183,46 @@ def prefix_size(n: int, similarity: float = SIMILARITY) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
-def prefix(shingle_hashes: np.ndarray, common: np.ndarray, places: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The first shingles in the order of all sets: by hash, then those of `common` (sorted) by their places."""
+def prefix(shingle_hashes: np.ndarray, levels: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first shingles in the order of all sets: by the level at their place of the table, then by hash."""
     if not len(shingle_hashes):
         return np.zeros(1, np.int64)
-    place = np.full(len(shingle_hashes), -1, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingle_hashes), len(common) - 1)
-        place = np.where(common[at] == shingle_hashes, places[at], place)
-    return shingle_hashes[np.lexsort((shingle_hashes, place))[: prefix_size(len(shingle_hashes), similarity)]]
+    level = levels[shingle_hashes & (len(levels) - 1)]
+    return shingle_hashes[np.lexsort((shingle_hashes, level))[: prefix_size(len(shingle_hashes), similarity)]]
 
 
-def _common(docs: DataFrame, text_column: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that repeat most among a sample of different texts, sorted, and their places from rare to common."""
+class Repeats:
+    """Counts hashes that come more than once among up to `most` at a time; equal texts count once in a block."""
+
+    def __init__(self, most: int):
+        self.block, self.used, self.seen = np.empty(most, np.int64), 0, set()
+
+    def add(self, digest: int, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if digest in self.seen:
+            return
+        while len(own):
+            part, own = np.split(own, [len(self.block) - self.used])
+            self.block[self.used : self.used + len(part)] = part
+            self.used += len(part)
+            if self.used == len(self.block):
+                yield self.flush()
+        self.seen.add(digest)
+
+    def flush(self) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes that repeat in the block, and how often they are there."""
+        full = self.block[: self.used]
+        full.sort()
+        keys, n = np.unique(full[1:][full[1:] == full[:-1]], return_counts=True)
+        self.used, self.seen = 0, set()
+        return keys, n + 1
+
+
+def _levels(docs: DataFrame, text_column: str, size: int) -> np.ndarray:
+    """How common shingles seem to be, eighths of powers of two by the last bits of their hashes; zero for rare ones.
+
+    Counted among a sample of different texts and, where that is not all, within blocks of all texts; the larger holds,
+    of shingles at one place that of the most common. A rare one that meets a common one there is only taken later.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -200,19 +230,38 @@ def _common(docs: DataFrame, text_column: str, size: int) -> tuple[np.ndarray, n
                 own = [shingle_set(t or b"", size) for t in batch.column("b").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], ["key"])
 
+    def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        def told(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1].astype(np.float64))], ["key", "n"])
+
+        repeats = Repeats(BLOCK)
+        for whole in batches:
+            for batch in slices(whole, "b"):
+                for t in batch.column("b").to_pylist():
+                    for found in repeats.add(xxhash.xxh64_intdigest(t), shingle_set(t, size)):
+                        yield told(found)
+        yield told(repeats.flush())
+
     text = F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))
     share = min(1.0, SAMPLE / max(1, docs.count()))
     drawn = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") < int(share * (1 << 32))
     texts = docs.select(text.alias("b")).where(drawn).dropDuplicates(["b"])
-    counts = texts.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    found = counts.orderBy(F.col("n").desc(), "key").limit(COMMON).select("key").toPandas()["key"].to_numpy(np.int64)
-    order = np.argsort(found)
-    return found[order], len(found) - order
+    counts = texts.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("key", (F.col("n") / share).alias("n"))
+    if share < 1:
+        within = docs.select(text.alias("b")).mapInArrow(repeat, "key long, n double").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2")
+        counts = counts.union(within).groupBy("key").agg(F.max("n").alias("n"))
+    places = counts.groupBy(F.col("key").bitwiseAND(PLACES - 1).cast("int").alias("place")).agg(F.max("n").alias("n"))
+    found = places.orderBy(F.col("n").desc(), "place").limit(PLACES // 2).toPandas()
+    levels = np.zeros(PLACES, np.uint8)
+    levels[found["place"].to_numpy(np.int64)] = np.clip(8 * np.log2(found["n"].to_numpy(np.float64)), 1, 255).astype(np.uint8)
+    return levels
 
 
 def _signatures(docs: DataFrame, id_column: str, text_column: str, size: int, similarity: float) -> DataFrame:
     """(id, digest, n, fp, s0, ..., prefix): the number of distinct shingles, the fingerprint, the sketch and the first shingles in the order."""
-    common, places = _common(docs, text_column, size)
+    levels = _levels(docs, text_column, size)
     names = [f"s{k}" for k in range(SKETCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +271,7 @@ def _signatures(docs: DataFrame, id_column: str, text_column: str, size: int, si
                 own = [shingle_set(t, size) for t in texts]
                 fps = pa.array([fingerprint(t) for t in texts], pa.int64())
                 found = np.array([parities(x) for x in own], np.int64).reshape(-1, SKETCH)
-                first = [prefix(x, common, places, similarity) for x in own]
+                first = [prefix(x, levels, similarity) for x in own]
                 columns = [pa.array(np.ascontiguousarray(found[:, k])) for k in range(SKETCH)]
                 ends = pa.array(np.cumsum([0, *map(len, first)], dtype=np.int32))
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *first])))

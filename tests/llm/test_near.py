@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import simhash
 
@@ -65,6 +66,30 @@ def test_fingerprint_pairs_connect_all_within_two_bits(spark):
     assert groups(pairs) == groups((a, b) for b in range(len(fps)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= 2)
 
 
+def test_repeats_are_counted_in_blocks():
+    rng = random.Random(6)
+    sets = [np.array(sorted({rng.randrange(40) for _ in range(k % 9)}), np.int64) for k in range(50)]
+    repeats, found = simhash.Repeats(64), []
+    for k, own in enumerate(sets):
+        found += [*repeats.add(k, own), *repeats.add(k, own)]  # the second is an equal text
+    found.append(repeats.flush())
+    flat = np.concatenate(sets)
+    wanted = [np.unique(flat[low : low + 64], return_counts=True) for low in range(0, len(flat) + 1, 64)]
+    assert len(found) == len(wanted) > 2
+    for (keys, n), (all_keys, all_n) in zip(found, wanted, strict=True):
+        assert keys.tolist() == all_keys[all_n > 1].tolist() and n.tolist() == all_n[all_n > 1].tolist()
+    assert [len(x) for x in simhash.Repeats(4).flush()] == [0, 0]
+
+
+def test_a_passage_that_the_sample_misses_is_known_as_common(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE", 4)
+    passage = " ".join(f"licence{k}" for k in range(12))
+    texts = [" ".join(f"t{k}w{j}" for j in range(30)) + (f" {passage}" if k % 10 == 0 else "") for k in range(400)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = simhash._signatures(docs, "doc_id", "text", simhash.NEAR_SHINGLE, simhash.SIMILARITY).select(F.explode("prefix").alias("key")).groupBy("key").count()
+    assert rows.agg(F.max("count")).first()[0] < 5  # prefixes hold shingles of few texts
+
+
 def share(a, b):
     a, b = (set(simhash.shingle_set(t.encode()).tolist()) for t in (a, b))
     return len(a & b) / len(a | b)
