@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import corpus_pipeline as P
-from ledgerloom.llm import simhash
+from ledgerloom.llm import bpe, langid, packing, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,6 +49,21 @@ def test_near_copies_are_searched_by_fingerprint_before_the_prefix_filter(spark,
     assert asked == [1, 1]
 
 
+def test_workers_get_small_batches(spark, monkeypatch):
+    slices = bpe.slices
+
+    def checked(batch, column):
+        assert batch.nbytes < 3_000_000, "a worker got a large batch"
+        return slices(batch, column)
+
+    for module in (langid, toxicity, simhash, packing):
+        monkeypatch.setattr(module, "slices", checked)
+    rows = spark.range(0, 300, 1, 1).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 2000), x -> concat('word', id * 2000 + x))) as text")  # 5 MB in one task
+    for name, stage in P.STAGES:
+        spark.conf.unset(P.BATCH_BOUND)
+        assert {r["doc_id"] for r in stage(spark, rows.selectExpr("*", "'en' as lang"), SF).select("doc_id").collect()} == set(range(300)), name
+
+
 def test_run(spark):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     pieces = defaultdict(list)
