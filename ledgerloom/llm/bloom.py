@@ -23,15 +23,15 @@ class Bloom:
     """What `columns` of `keys` hold, asked by columns of the same types in the same order."""
 
     def __init__(self, keys: DataFrame, columns: list[str], most_bits: int = MOST_BITS):
-        self.bits = 64
-        while self.bits < min(most_bits, PER_KEY * keys.count()):
+        self.bits, wanted = 64, min(most_bits, PER_KEY * keys.count())
+        while self.bits < wanted:
             self.bits *= 2
         hashes = F.xxhash64(*columns)
         places = F.explode(F.array(*(F.shiftrightunsigned(hashes, s).bitwiseAND(F.lit(self.bits - 1).cast("long")) for s in STARTS)))
         words = keys.select(places.alias("p")).select(F.shiftright("p", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
-        found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # most_bits / 64 rows at most
+        found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # most_bits / 64 rows at most
         self.words = np.zeros(self.bits // 64, np.uint64)
-        self.words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+        self.words[np.asarray(found["word"])] = np.asarray(found["bits"]).view(np.uint64)
 
     def may_hold(self, *columns: Column) -> Column:
         words, bits = self.words, np.uint64(self.bits - 1)

@@ -253,9 +253,9 @@ def _levels(docs: DataFrame, text_column: str, size: int) -> np.ndarray:
         within = docs.select(text.alias("b")).mapInArrow(repeat, "key long, n double").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2")
         counts = counts.union(within).groupBy("key").agg(F.max("n").alias("n"))
     places = counts.groupBy(F.col("key").bitwiseAND(PLACES - 1).cast("int").alias("place")).agg(F.max("n").alias("n"))
-    found = places.orderBy(F.col("n").desc(), "place").limit(PLACES // 2).toPandas()
+    found = places.orderBy(F.col("n").desc(), "place").limit(PLACES // 2).toArrow()
     levels = np.zeros(PLACES, np.uint8)
-    levels[found["place"].to_numpy(np.int64)] = np.clip(8 * np.log2(found["n"].to_numpy(np.float64)), 1, 255).astype(np.uint8)
+    levels[np.asarray(found["place"])] = np.clip(8 * np.log2(np.asarray(found["n"])), 1, 255).astype(np.uint8)
     return levels
 
 

@@ -138,6 +138,15 @@ def test_bloom_loses_no_key(spark):
     assert asked.where(Bloom(keys.where("false"), ["id", "digest"]).may_hold("id", "digest")).count() == 0
 
 
+def test_bloom_counts_its_keys_once(spark, monkeypatch):
+    from ledgerloom.llm.bloom import Bloom
+
+    keys, asked = spark.range(5000), []
+    count = type(keys).count
+    monkeypatch.setattr(type(keys), "count", lambda self: asked.append(1) or count(self))
+    assert Bloom(keys, ["id"]).bits == 1 << 17 and asked == [1]
+
+
 def test_deduplicated_with_awkward_rows(spark):
     from ledgerloom.llm import simhash
 
