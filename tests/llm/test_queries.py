@@ -36,7 +36,8 @@ def odd(spark, tmp_path_factory):
     pages = [(1, "http://a.b/c", big), (2, None, big), (3, "http://www.A.b:80/c?x=1", big), (4, "", None), (5, "http://a.b/c", "<p>"), (6, "x", "<p>")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
     vectors = [(0, [1.0, 0.5]), (50, [0.25]), (1, None), (2, [float("nan"), 1.0]), (3, [1.0, None]), (4, [1.0, 0.5]), (5, [1.0, 0.5]), (6, [-1.0, 2.0]), (7, []), (8, [1.0, 0.5]), (9, [float("inf")])]
-    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{at}/embeddings.parquet")
+    labelled = [(*v, None if v[0] == 5 else v[0] % 2, "clash") for v in vectors]
+    spark.createDataFrame(labelled, "vec_id long, embedding array<double>, label int, code string").write.parquet(f"{at}/embeddings.parquet")
     return at
 
 
@@ -254,10 +255,10 @@ def test_null_ids_do_not_fail(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(None, None, "x" * 2000), (1, "u", "x" * 2000), (1, "u", "x" * 2000), (2, "u", "x" * 2000)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    spark.createDataFrame([(None, [1.0]), (0, [1.0]), (0, [1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(None, [1.0], 0), (0, [1.0], 0), (0, [1.0], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     for name, f in queries.QUERIES.items():
         n = f(spark, str(tmp_path)).count()
-        assert n == (0 if name == "op9_topk" else 4), name
+        assert n == {"op9_topk": 0, "op12_negatives": 0, "op13_codes": 3}.get(name, 4), name
     kinds = queries.op2_warc(spark, str(tmp_path)).groupBy("record_type").agg(F.count(F.lit(1))).collect()
     assert dict(map(tuple, kinds)) == {"response": 1, "revisit": 3}
 
