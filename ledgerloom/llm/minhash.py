@@ -187,11 +187,13 @@ def near_duplicates(
     indexed = nodes.select("id", F.explode("bands").alias("key"))
     sizes = shelf.cut(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
     shared = shelf.cut(indexed.join(sizes, "key"), "shared")
-    few, crowded = shared.where(F.col("rows") <= cap), shared.where(F.col("rows") > cap)
-    # Of a crowded bucket, the texts that have the most company in all their buckets.
-    company = crowded.groupBy("id").agg(F.sum("rows").alias("company"))
+    few = shared.where(F.col("rows") <= cap)
+    # Texts of crowded buckets: one row each, with their buckets (no more than bands) and how much company they have in them.
+    company = shared.where(F.col("rows") > cap).groupBy("id").agg(F.sum("rows").alias("company"), F.collect_list(F.struct("key", "rows")).alias("buckets"))
+    crowd = shelf.cut(company, "crowd")
+    crowded = crowd.select("id", "company", F.inline("buckets"))
     order = Window.partitionBy("key").orderBy(F.col("company").desc(), "id")
-    heads = shelf.cut(crowded.join(company, "id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots), "heads")
+    heads = shelf.cut(crowded.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots), "heads")
     pair = lambda left, right, when: left.select("key", F.col("id").alias("p")).join(right.select("key", F.col("id").alias("q")), "key").where(when)
     met = pair(few, few, F.col("p") < F.col("q")).union(pair(crowded, heads, F.col("p") != F.col("q")))
     met = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
@@ -209,7 +211,7 @@ def near_duplicates(
     grouped = lambda df: df.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
     # Texts of crowded buckets in another group than the first pivot's.
     led = grouped(heads.where("place = 1").select("key", "id")).select("key", F.col("group").alias("led"))
-    placed = grouped(crowded)
+    placed = grouped(crowd).select("id", "group", F.inline("buckets"))
     apart = shelf.cut(placed.join(led, "key").where(F.col("group") != F.col("led")).drop("led"), "apart")
     if apart.head(1):
         beside = placed.join(apart.select("key").distinct(), "key", "left_semi")
