@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.bpe import slices
 from ledgerloom.llm.components import components
-from ledgerloom.llm.simhash import HOT_SHARE, _sets, shingle_set, shingles
+from ledgerloom.llm.simhash import HOT_SHARE, SEED, _sets, shingles
 from ledgerloom.storage import Shelf
 
 SHINGLE, PERCENT, BANDS, ROWS = 2, 80, 40, 5
@@ -72,12 +72,15 @@ def signatures(docs: DataFrame, size: int, count: int, rows: int, id_column: str
     factors, addends = universal(count * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as digest
+
         for whole in batches:
             for batch in slices(whole, "b"):
                 n, keys, signed = [], [], []
                 for t in batch.column("b").to_pylist():
-                    n.append(len(set(shingles(t, size))))
-                    least = minima(shingle_set(t, size), factors, addends)
+                    own = set(shingles(t, size))
+                    n.append(len(own))
+                    least = minima(np.fromiter((digest(s, SEED) for s in own), np.uint64, len(own)), factors, addends)
                     keys.append(bands(least, rows) if n[-1] else [])
                     signed.append(least[:SIGNED].astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signed, pa.binary())], ["id", "digest", "n", "bands", "signed"])
