@@ -112,16 +112,6 @@ def expected_locations(answers: DataFrame, excerpts: DataFrame) -> DataFrame:
     return found.select("id", "place", "value", "positions", F.when(F.col("positions").isNull(), F.col("markers")).alias("markers"), location.alias("location"))
 
 
-def line_window(line: Column, figure: Column, most: int = 160) -> Column:
-    """The line or, of a longer one, about `most` characters around the figure's first mention as a token."""
-    gaps = F.split(line, T.NUMBER, -1)
-    tokens = T.number_tokens(line)
-    at = F.array_position(tokens, figure).cast("int")
-    before = F.aggregate(F.arrays_zip(F.slice(gaps, F.lit(1), at).alias("g"), F.concat(F.slice(tokens, F.lit(1), F.greatest(at - 1, F.lit(0))), F.array(F.lit(""))).alias("t")), F.lit(0), lambda n, x: n + F.length(x["g"]) + F.length(x["t"]))
-    begin = F.greatest(F.lit(0), F.least(F.when(at > 0, before).otherwise(0) - most // 2, F.length(line) - most))
-    return F.when(F.length(line) <= most, line).otherwise(F.concat(F.when(begin > 0, "...").otherwise(""), F.substr(line, begin + 1, F.lit(most)), F.when(begin + most < F.length(line), "...").otherwise("")))
-
-
 def answer_rank(needles: DataFrame, excerpts: DataFrame) -> DataFrame:
     """(id, rank): the last of the needles' (id, needle) first positions in excerpts (id, position, content), null if one is in none."""
     first = needles.join(excerpts, "id", "left").groupBy("id", "needle").agg(F.min(F.when(F.contains("content", "needle"), F.col("position"))).alias("first"))

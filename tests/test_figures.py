@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text as T
 from ledgerloom.operators import figures as G
 
 ANSWER = "id string, answer string, question string, kind string, passed boolean, expect array<string>, inputs array<string>"
@@ -71,6 +72,6 @@ def test_expected_locations(tables):
 def test_windows(spark):
     long = "a " * 100 + "figure 4,120 " + "b " * 100
     df = spark.createDataFrame([("short 4,120", "4,120"), (long, "4,120"), (long, "9"), ("7 " + "c " * 100, "7")], "line string, figure string")
-    got = [r[0] for r in df.select(G.line_window(F.col("line"), F.col("figure"))).collect()]
+    got = [r[0] for r in df.select(T.line_window(F.col("line"), F.col("figure"))).collect()]
     assert got[0] == "short 4,120" and "4,120" in got[1] and got[1].startswith("...") and got[1].endswith("...") and len(got[1]) == 166
     assert got[2].startswith("a a") and got[3].startswith("7 c")
