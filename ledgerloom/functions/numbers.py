@@ -6,14 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def period_label(start: Column, end: Column) -> Column:
-    """What a period is called: a day, a year, a quarter or its two ends. A null start is an instant."""
+def period_label(start: Column, end: Column, fiscal: Column | None = None) -> Column:
+    """What a period is called: a day, a year (with the name of a fiscal one, if that is not null), a quarter or its two ends. A null start is an instant."""
+    named = F.lit("") if fiscal is None else F.coalesce(F.concat(F.lit("fiscal "), fiscal.cast("string"), F.lit(", ")), F.lit(""))
     day = lambda c: F.date_format(c, "MMMM d, yyyy")
     days = F.datediff(end, start)
     return (
         F.when(start.isNull(), F.concat(F.lit("as of "), day(end)))
         .when(days == 0, F.concat(F.lit("on "), day(end)))
-        .when(days.between(350, 380), F.concat(F.lit("year ended "), day(end)))
+        .when(days.between(350, 380), F.concat(named, F.lit("year ended "), day(end)))
         .when(days.between(85, 95), F.concat(F.lit("three months ended "), day(end)))
         .otherwise(F.concat(day(start), F.lit(" to "), day(end)))
     )

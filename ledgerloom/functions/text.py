@@ -205,12 +205,26 @@ def straight_quotes(text: Column) -> Column:
     return F.translate(text, "’‘", "''")
 
 
+# Fixed patterns: a score in words, one alone on the last line, one that leads, and what stands before a reply that was not read.
+WRITTEN_SCORE = (
+    r"(?i)\b(?:score|metric|value|rating|rate[ds]?)\b[^.\d]{0,30}?\b(?:is|of|be|as|at)\s*(?:an?\s+)?\**([1-5])\b(?![.,]\d)"
+    r"|\b(?:score|metric|value|rating)\s*[:=]\s*\**([1-5])\b(?![.,]\d)|\b([1-5])\s*(?:/\s*5|out of 5|stars?)\b"
+)
+TRAILING_SCORE, LEADING_SCORE, UNREAD_REPLY = r"\n\s*\**([1-5])\**\z", r"\A\**([1-5])\**(?![\d.,%])\s", "from the following text:"
+
+
 def judge_score(reply: Column) -> Column:
-    """The last written score of a reply, else the number of its last line, else a leading one; 1 to 5."""
-    phrase = F.regexp_extract_all(reply, F.lit(r"(?i)(?:score (?:is|of|:)|give it)\s*:?\s*([1-5])(?![\d,.]\d)"), 1)
-    trailing = F.regexp_extract(reply, r"(?:^|\n)\s*([1-5])(?:/5)?\.?\s*$", 1)
-    leading = F.regexp_extract(reply, r"^\s*([1-5])(?:/5)?(?:\s|$)", 1)
-    return F.coalesce(F.try_element_at(phrase, F.lit(-1)), F.nullif(trailing, F.lit("")), F.nullif(leading, F.lit(""))).cast("int")
+    """The last written score of a reply, else the number alone on its last line, else a leading one; 1 to 5."""
+    text = trimmed(reply)
+    written = [F.nullif(F.try_element_at(F.regexp_extract_all(text, F.lit(WRITTEN_SCORE), k), F.lit(-1)), F.lit("")) for k in (1, 2, 3)]
+    alone = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (TRAILING_SCORE, LEADING_SCORE)]
+    return F.coalesce(*written, *alone).cast("int")
+
+
+def recovered_score(error: Column) -> Column:
+    """The score in a reply that an error quotes as unread; null for other errors."""
+    at = F.instr(error, UNREAD_REPLY)
+    return F.when(at > 0, judge_score(F.substr(error, at + len(UNREAD_REPLY))))
 
 
 def line_window(line: Column, figure: Column, width: int = 160) -> Column:

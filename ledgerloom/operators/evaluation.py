@@ -15,6 +15,34 @@ def rank_of_needles(needles: DataFrame, ranked: DataFrame) -> DataFrame:
     return found.groupBy("question_id").agg(F.when(F.count(F.when(F.col("first").isNull(), 1)) == 0, F.max("first")).alias("rank"))
 
 
+def holders(needles: DataFrame, chunks: DataFrame) -> DataFrame:
+    """needles (question_id, needle) joined to the chunks (key, content, ...) that hold them.
+
+    A chunk that holds a needle has its inner words as whole words: candidates share the longest of these, by an equi
+    join, and are then read. Needles of fewer than three words have none; they are held against every chunk.
+    """
+    inner = F.split("needle", r"\s+")
+    inner = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
+    word = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = needles.withColumn("_word", F.nullif(word, F.lit("")))
+    keyed = asked.where("_word is not null")
+    words = chunks.select("key", F.explode(F.array_distinct(F.split("content", r"\s+"))).alias("_word"))
+    met = words.join(keyed.select("question_id", "needle", "_word"), "_word").select("key", "question_id", "needle").join(chunks, "key")
+    short = chunks.join(asked.where("_word is null").select("question_id", "needle"), F.contains("content", "needle"))
+    return met.where(F.contains("content", "needle")).unionByName(short)
+
+
+def question_tags(kind: Column, expect: Column, inputs: Column, traps: Column, filings: Column, statement: Column, version: Column) -> Column:
+    """Tags of a question: its kind, whether it asks for a calculation or has traps, the companies and the statement that it was routed to, and the serving build."""
+    from ledgerloom.operators.figures import asks_for_calculation
+
+    company = F.transform(filings, lambda f: F.concat(F.lit("company:"), F.substring_index(f, "-", 1)))
+    companies = F.when(F.size(filings) > 0, company).otherwise(F.array(F.lit("company:none")))
+    first = F.array(F.concat(F.lit("kind:"), kind), F.when(asks_for_calculation(expect, inputs), "calculation"), F.when(F.size(traps) > 0, "has traps"))
+    last = F.array(F.concat(F.lit("statement:"), F.coalesce(statement, F.lit("none"))), F.concat(F.lit("ollama:"), F.nullif(version, F.lit(""))))
+    return F.array_compact(F.concat(first, companies, last))
+
+
 def metrics(ranks: DataFrame, by: str, depths: tuple[int, ...] = (1, 5, 8)) -> DataFrame:
     """Recall at depths and MRR by set, and over all sets in the row `All`."""
     recall = [F.count_if(F.col("rank") <= k).alias(f"recall_{k}") for k in depths]

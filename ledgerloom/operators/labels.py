@@ -100,7 +100,7 @@ def row_periods(rows: DataFrame, values: DataFrame, contexts: DataFrame, fiscal:
     own = rows.join(each.join(ends, ["filing", "table"], "left_semi").select("filing", "table", "row", "period"), ["filing", "table", "row"], "left").join(shown, ["filing", "table", "row"], "left")
     year = F.year("period.end").cast("string")
     shows = F.contains(F.concat_ws(" ", "grp", "label", "_columns"), year)
-    said = F.concat(F.when(F.col("period.fiscal_year").isNotNull() & F.datediff("period.end", "period.start").between(350, 380), F.concat(F.lit("fiscal "), F.col("period.fiscal_year").cast("string"), F.lit(", "))).otherwise(""), period_label(F.col("period.start"), F.col("period.end")))
+    said = period_label(F.col("period.start"), F.col("period.end"), F.col("period.fiscal_year"))
     label = F.when(F.col("period").isNotNull() & (F.col("label") != "") & ~shows, F.concat("label", F.lit(" ("), said, F.lit(")"))).otherwise(F.col("label"))
     return own.select(*(label.alias("label") if c == "label" else F.col(c) for c in rows.columns))
 

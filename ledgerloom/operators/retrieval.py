@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +26,69 @@ def top(df: DataFrame, by: str, order: list[Column], k: int, out: str = "rank")
     return df.withColumn(out, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(out) <= k)
 
 
-def vector_topk(questions: DataFrame, chunks: DataFrame, k: int, condition: Column | None = None) -> DataFrame:
-    """(question_id, key, distance, rank). questions (question_id, q): a bounded batch, sent to every task; chunks (key, v)."""
-    pairs = chunks.join(F.broadcast(questions), condition if condition is not None else F.lit(True))
-    scored = pairs.withColumn("distance", F.round(cosine_distance(F.col("v"), F.col("q")), 9)).where("distance is not null")
-    return top(scored, "question_id", [F.col("distance"), F.col("key")], k).select("question_id", "key", "distance", "rank")
+#: Chunks and questions of a block, and numbers of scores that a task holds at a time.
+GROUP, BATCH, AT_ONCE = 16_384, 1024, 1 << 20
+
+
+def _vectors(df: DataFrame, vector: str, columns: dict[str, str | Column], blocks: int, salt: int, other: tuple[str, int]) -> DataFrame:
+    """The rows with a vector of finite numbers, in a block of their own kind and once for each block of the other."""
+    v = F.col(vector)
+    finite = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    own = df.where(finite).select(*(F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for n, c in columns.items()), F.transform(v, lambda x: x.cast("double")).alias("w"))
+    name = "b" if other[0] == "g" else "g"
+    return own.withColumn(name, F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(blocks)).cast("int")).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1))))
+
+
+def vector_topk(questions: DataFrame, chunks: DataFrame, k: int, same: tuple[str, str] | None = None, by: str | None = None, group: int = GROUP, batch: int = BATCH) -> DataFrame:
+    """(question_id, key, distance, rank) by cosine distance from questions (question_id, q) and chunks (key, v).
+
+    Both sides fall into blocks; a task holds one of each, so neither is sent whole to every task, and sends on the k
+    best of each question. `same` names a question's and a chunk's column that have to be equal; with `by`, a column of
+    chunks, k are found for each of its values, which comes along. Vectors that are null, hold null or a
+    non-finite number, or have no length take no part, nor do pairs of different lengths; ties go to the smaller key.
+    """
+    groups, batches = max(1, -(-chunks.count() // group)), max(1, -(-questions.count() // batch))
+    none = F.lit(None).cast("string")
+    text = lambda c: F.col(c).cast("string")
+    left = _vectors(questions, "q", {"id": "question_id", "tag": text(same[0]) if same else none}, batches, 1, ("g", groups))
+    right = _vectors(chunks, "v", {"id": "key", "tag": text(same[1]) if same else none, "of": text(by) if by else none}, groups, 2, ("b", batches))
+    schema = pa.schema([("question_id", pa.int64()), ("key", pa.int64()), ("of", pa.string()), ("distance", pa.float64())])
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], [], []]
+        if q.num_rows and c.num_rows:
+            sizes = [np.asarray(pc.list_value_length(t["w"].combine_chunks())) for t in (q, c)]
+            tags = [np.array(t["tag"].to_pylist(), object) for t in (q, c)]
+            of = np.array(c["of"].to_pylist(), object)
+            for size in set(sizes[0].tolist()) & set(sizes[1].tolist()) - {0}:
+                at = [np.flatnonzero(s == size) for s in sizes]
+                x, y = (np.asarray(t["w"].take(i).combine_chunks().flatten(), np.float64).reshape(-1, size) for t, i in zip((q, c), at, strict=True))
+                ids, keys = (np.asarray(t["id"])[i] for t, i in zip((q, c), at, strict=True))
+                kinds = of[at[1]]
+                parts = [np.flatnonzero(kinds == o) for o in set(kinds)] if by else [np.arange(len(keys))]
+                lengths = [np.sqrt((m * m).sum(1)) for m in (x, y)]
+                step = max(1, AT_ONCE // len(keys))
+                for low in range(0, len(ids), step):
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        far = 1 - (x[low : low + step] @ y.T) / (lengths[0][low : low + step, None] * lengths[1][None, :])
+                    for n, row in enumerate(far):
+                        fits = np.isfinite(row) & ((tags[1][at[1]] == tags[0][at[0][low + n]]) if same else True)
+                        for part in parts:
+                            own = part[fits[part]]
+                            near = np.round(row[own], 9)
+                            if len(own) > k:
+                                own = own[near <= np.partition(near, k - 1)[k - 1]]
+                            own = own[np.lexsort((keys[own], np.round(row[own], 9)))[:k]]
+                            for column, values in zip(out, ([int(ids[low + n])] * len(own), keys[own].tolist(), kinds[own].tolist(), row[own].tolist()), strict=True):
+                                column += values
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    best = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInArrow(run, "question_id long, key long, of string, distance double").withColumn("distance", F.round("distance", 9))
+    if by is None:
+        return top(best, "question_id", [F.col("distance"), F.col("key")], k).select("question_id", "key", "distance", "rank")
+    kind = chunks.schema[by].dataType
+    each = top(best.withColumn("_each", F.struct("question_id", "of")), "_each", [F.col("distance"), F.col("key")], k)
+    return each.select("question_id", F.col("of").cast(kind).alias(by), "key", "distance", "rank")
 
 
 def postings(chunks: DataFrame, key: str, text: str, split: Callable[[Column], Column] = words) -> DataFrame:
@@ -41,7 +101,7 @@ def lengths(chunks: DataFrame, key: str, text: str, split: Callable[[Column], Co
 
 
 def bm25(questions: DataFrame, index: DataFrame, sizes: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(question_id, key, score, rank). questions (question_id, term). Statistics are of all chunks; `allowed` (question_id, key) filters afterwards."""
+    """(question_id, key, score, rank). questions (question_id, term). Statistics are of all chunks; `allowed` (key, and question_id if it depends on the question) filters afterwards."""
     total = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
     asked = questions.distinct()
     hits = index.join(F.broadcast(asked.select("term").distinct()), "term")  # terms of a bounded batch of questions
@@ -51,7 +111,7 @@ def bm25(questions: DataFrame, index: DataFrame, sizes: DataFrame, k: int, allow
     scored = hits.join(df, "term").join(sizes, "key").join(F.broadcast(total)).join(F.broadcast(asked), "term")
     summed = scored.groupBy("question_id", "key").agg(F.round(F.sum(weight), 9).alias("score"))
     if allowed is not None:
-        summed = summed.join(allowed, ["question_id", "key"], "left_semi")
+        summed = summed.join(allowed, [c for c in ("question_id", "key") if c in allowed.columns], "left_semi")
     return top(summed, "question_id", [F.col("score").desc(), F.col("key")], k).select("question_id", "key", "score", "rank")
 
 
@@ -130,7 +190,3 @@ def min_max(value: str, by: str) -> Column:
     w = Window.partitionBy(by)
     low, high = F.min(value).over(w), F.max(value).over(w)
     return F.coalesce((F.col(value) - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
-
-
-def per_company(k: int, companies: int) -> int:
-    return math.ceil(k / companies)

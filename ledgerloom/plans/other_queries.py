@@ -117,9 +117,13 @@ def _ranked(spark, d) -> tuple[DataFrame, DataFrame]:
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("needle"))  # the stated set of questions
     docs = table(spark, d, "documents")
     place = F.struct((F.col("doc_id") % 97).alias("p"), F.col("doc_id").alias("id"))
-    first = docs.join(F.broadcast(items), F.contains("text", "needle")).groupBy("question_id").agg(F.min(place).alias("at"))
-    ahead = docs.select(place.alias("here")).join(F.broadcast(first), F.col("here") <= F.col("at"))
-    return items, ahead.groupBy("question_id").agg(F.count(F.lit(1)).cast("int").alias("rank"))
+    first = E.holders(items, docs.select(F.col("doc_id").alias("key"), place.alias("place"), F.col("text").alias("content"))).groupBy("question_id").agg(F.min("place").alias("at"))
+    # Places before: whole residues, of which there are 97, and of the same one those with a smaller id.
+    sizes = docs.groupBy((F.col("doc_id") % 97).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    before = first.select("question_id", F.col("at.p").alias("at_p")).join(F.broadcast(sizes), F.col("p") < F.col("at_p"), "left").groupBy("question_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before"))
+    own = first.select("question_id", F.col("at.p").alias("p"), F.col("at.id").alias("at_id"))
+    beside = docs.select("doc_id", (F.col("doc_id") % 97).alias("p")).join(own, "p").where(F.col("doc_id") <= F.col("at_id")).groupBy("question_id").agg(F.count(F.lit(1)).alias("beside"))
+    return items, before.join(beside, "question_id").select("question_id", (F.col("before") + F.col("beside")).cast("int").alias("rank"))
 
 
 _RANKS = "r AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id % 97, doc_id) AS rank FROM documents), n AS (SELECT item_id AS question_id, min(rank) AS rank FROM benchmark b LEFT JOIN r ON contains(r.text, b.text) GROUP BY 1)"
@@ -142,10 +146,21 @@ def number_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", T.number_tokens(F.col("text")).alias("tokens"))
 
 
-@query("question_tags", "SELECT conv_id, turn, list_filter([role, CASE WHEN contains(text, '?') THEN 'question' END, CASE WHEN length(text) > 200 THEN 'long' END], lambda x: x IS NOT NULL) AS tags FROM conversations")
+@query("question_tags", r"""WITH u AS (SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN 'figure' WHEN 1 THEN 'fact' ELSE 'negative' END AS kind, CASE WHEN conv_id % 2 = 0 THEN ['4,120'] ELSE ['30', 'kilns'] END AS expect,
+  CASE conv_id % 3 WHEN 0 THEN ['10 cups', '20 bowls'] WHEN 1 THEN ['4,120'] ELSE ['sold 4,120', '30'] END AS inputs, turn % 4 = 0 AS trapped, CASE conv_id % 4 WHEN 0 THEN [] WHEN 1 THEN ['ABC-10K-2031.html'] WHEN 2 THEN ['ABC-10K-2031.html', 'XYZ-10K-2031.html'] END AS filings FROM conversations)
+SELECT conv_id, turn, list_filter(['kind:' || kind, CASE WHEN len(inputs) >= 2 AND NOT list_has_any(flatten([regexp_extract_all(e, '\d{1,3}(?:,\d{3})+|\d+') FOR e IN expect]), flatten([regexp_extract_all(i, '\d{1,3}(?:,\d{3})+|\d+') FOR i IN inputs])) THEN 'calculation' END, CASE WHEN trapped THEN 'has traps' END], lambda x: x IS NOT NULL)
+  || CASE WHEN len(filings) > 0 THEN ['company:' || string_split(f, '-')[1] FOR f IN filings] ELSE ['company:none'] END || [CASE WHEN turn % 5 = 0 THEN 'statement:balance_sheet' ELSE 'statement:none' END] || CASE WHEN conv_id % 7 = 0 THEN ['ollama:0.5'] ELSE [] END AS tags FROM u""".replace("\\\\d", "\\d"))
 def question_tags(spark: SparkSession, d: str) -> DataFrame:
-    tags = F.array_compact(F.array(F.col("role"), F.when(F.contains("text", F.lit("?")), "question"), F.when(F.length("text") > 200, "long")))
-    return table(spark, d, "conversations").select("conv_id", "turn", tags.alias("tags"))
+    """Turns as questions, with what is expected of them and where they were routed."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    texts = lambda *x: F.array(*(F.lit(v) for v in x)) if x else F.array().cast("array<string>")
+    made = {
+        "kind": F.when(turn % 3 == 0, "figure").when(turn % 3 == 1, "fact").otherwise("negative"), "expect": F.when(conv % 2 == 0, texts("4,120")).otherwise(texts("30", "kilns")),
+        "inputs": F.when(conv % 3 == 0, texts("10 cups", "20 bowls")).when(conv % 3 == 1, texts("4,120")).otherwise(texts("sold 4,120", "30")), "traps": F.when(turn % 4 == 0, texts("7")),
+        "filings": F.when(conv % 4 == 0, texts()).when(conv % 4 == 1, texts("ABC-10K-2031.html")).when(conv % 4 == 2, texts("ABC-10K-2031.html", "XYZ-10K-2031.html")),
+        "statement": F.when(turn % 5 == 0, "balance_sheet"), "version": F.when(conv % 7 == 0, "0.5"),
+    }
+    return table(spark, d, "conversations").select("conv_id", "turn", E.question_tags(*made.values()).alias("tags"))
 
 
 @query("judge_agreement", "SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS both_pass, count(*) FILTER (quality = 1 AND toxic = 1) AS strict_only, count(*) FILTER (quality = 0 AND toxic = 0) AS judge_only, count(*) FILTER (quality = 0 AND toxic = 1) AS both_fail, round_even(avg(((quality = 1) = (toxic = 0))::INT) * 100, 1) AS agree_percent FROM labels")
@@ -187,12 +202,12 @@ def fiscal_year(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("period_label", """WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderdate::DATE END AS a, (o_orderdate::DATE + ((o_orderkey % 4) * 91 + CASE WHEN o_orderkey % 4 = 3 THEN 92 ELSE 0 END)::INT) AS b FROM orders)
-SELECT o_orderkey, CASE WHEN a IS NULL THEN 'as of ' || strftime(b, '%B %-d, %Y') WHEN b - a = 0 THEN 'on ' || strftime(b, '%B %-d, %Y') WHEN b - a BETWEEN 350 AND 380 THEN 'year ended ' || strftime(b, '%B %-d, %Y')
+SELECT o_orderkey, CASE WHEN a IS NULL THEN 'as of ' || strftime(b, '%B %-d, %Y') WHEN b - a = 0 THEN 'on ' || strftime(b, '%B %-d, %Y') WHEN b - a BETWEEN 350 AND 380 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'fiscal ' || year(b) || ', ' ELSE '' END || 'year ended ' || strftime(b, '%B %-d, %Y')
  WHEN b - a BETWEEN 85 AND 95 THEN 'three months ended ' || strftime(b, '%B %-d, %Y') ELSE strftime(a, '%B %-d, %Y') || ' to ' || strftime(b, '%B %-d, %Y') END AS label FROM p""")
 def period_label(spark: SparkSession, d: str) -> DataFrame:
     day, k = F.to_date("o_orderdate"), F.col("o_orderkey")
     end = F.date_add(day, ((k % 4) * 91 + F.when(k % 4 == 3, 92).otherwise(0)).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", N.period_label(F.when(k % 5 != 0, day), end).alias("label"))
+    return table(spark, d, "orders").select("o_orderkey", N.period_label(F.when(k % 5 != 0, day), end, F.when(k % 3 == 0, F.year(end))).alias("label"))
 
 
 @query("chunk_stats", "SELECT source, count(*) AS chunks, min(t) AS least, max(t) AS most, round(avg(t), 6) AS mean FROM (SELECT source, len(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS t FROM documents) GROUP BY source")

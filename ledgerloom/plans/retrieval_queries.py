@@ -56,7 +56,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query("vector_topk_filtered", f"WITH {_SAME} SELECT question_id, key, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM same WHERE rank <= {TOP}")
 def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return R.vector_topk(*_vectors(spark, d), TOP, F.col("label") == F.col("company")).withColumn("distance", F.round("distance", 6))
+    return R.vector_topk(*_vectors(spark, d), TOP, ("company", "label")).withColumn("distance", F.round("distance", 6))
 
 
 @query("keyword_query_build", f"""SELECT conv_id, turn, nullif(array_to_string([('"' || w || '"') FOR w IN list_filter(t, lambda w, i: list_position(t, w) = i)], ' OR '), '') AS query
@@ -94,13 +94,12 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 @query("bm25_topk_filtered", f"WITH {_BM25} SELECT question_id, key, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT bm.*, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, key) AS rank FROM bm JOIN documents ON doc_id = key WHERE lang = 'en') WHERE rank <= {TOP}")
 def bm25_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("key"))
-    questions = table(spark, d, "benchmark").where(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("question_id"))
-    return _bm25(spark, d, TOP, docs.join(F.broadcast(questions))).withColumn("score", F.round("score", 6))
+    return _bm25(spark, d, TOP, docs).withColumn("score", F.round("score", 6))
 
 
 def _lists(spark, d) -> list[DataFrame]:
     asked, chunks = _vectors(spark, d)
-    return [R.vector_topk(asked, chunks, R.DEPTH), _bm25(spark, d, R.DEPTH), R.vector_topk(asked, chunks, R.DEPTH, F.col("label") == F.col("company"))]
+    return [R.vector_topk(asked, chunks, R.DEPTH), _bm25(spark, d, R.DEPTH), R.vector_topk(asked, chunks, R.DEPTH, ("company", "label"))]
 
 
 _KW = f"kw AS (SELECT question_id, key, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, key) AS rank FROM bm)"
@@ -133,22 +132,13 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return R.fuse(_lists(spark, d), TOP).withColumn("score", F.round("score", 6))
 
 
-@query("rrf_tie_order", "SELECT * FROM (VALUES (1, 3, 1), (1, 1, 2), (1, 2, 3), (1, 4, 4), (1, 5, 5), (2, 7, 1), (2, 8, 2), (3, 1, 1), (3, 2, 2)) t(question_id, key, rank)")
-def rrf_tie_order(spark: SparkSession, d: str) -> DataFrame:
-    """Fixed lists: [1, 3, 4] and [2, 3, 5]; [7] and [8, 7]; [1, 2] and [2, 1]."""
-    rows = [[(1, 1, 1), (1, 3, 2), (1, 4, 3), (2, 7, 1), (3, 1, 1), (3, 2, 2)], [(1, 2, 1), (1, 3, 2), (1, 5, 3), (2, 8, 1), (2, 7, 2), (3, 2, 1), (3, 1, 2)]]
-    return R.fuse([spark.createDataFrame(x, "question_id int, key int, rank int") for x in rows], 99).select("question_id", "key", "rank")
-
-
 _PER = f"per AS (SELECT q.vec_id AS question_id, c.label AS company, c.vec_id AS key, row_number() OVER (PARTITION BY q.vec_id, c.label ORDER BY {_DIST}, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % {EVERY} = 0)"
 
 
 @query("interleave_companies", f"WITH {_PER}, many AS (SELECT question_id, count(DISTINCT company) AS n FROM per GROUP BY 1), kept AS (SELECT per.* FROM per JOIN many USING (question_id) WHERE rank <= ceil({TOP} / n::DOUBLE)), placed AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank, company) AS place FROM kept) SELECT question_id, company, key, CAST(rank AS INTEGER) AS rank, CAST(place AS INTEGER) AS place FROM placed WHERE place <= {TOP}")
 def interleave_companies(spark: SparkSession, d: str) -> DataFrame:
     asked, chunks = _vectors(spark, d)
-    pairs = chunks.join(F.broadcast(asked.drop("company"))).withColumn("distance", F.round(R.cosine_distance(F.col("v"), F.col("q")), 9))
-    pairs = pairs.withColumn("group", F.struct("question_id", "label"))
-    ranked = R.top(pairs, "group", [F.col("distance"), F.col("key")], TOP).select("question_id", F.col("label").alias("company"), "key", "rank")
+    ranked = R.vector_topk(asked, chunks, TOP, by="label").withColumnRenamed("label", "company")
     return R.interleave(ranked, TOP)
 
 

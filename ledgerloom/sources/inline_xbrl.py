@@ -182,9 +182,11 @@ _COVER = {
 
 
 def companies(fact_rows: DataFrame) -> DataFrame:
-    """(filing, registrant, short_name, symbols, names, context, profile) from cover facts; a filing without a registrant's name has none of them."""
+    """(filing, registrant, short_name, symbols, names, context, profile) from cover facts; a filing without a registrant's name raises."""
     covers = fact_rows.groupBy("filing").agg(*(F.min_by(F.when(F.col("concept") == c, F.col("text")), F.when(F.col("concept") == c, F.col("seq"))).alias(n) for n, c in _COVER.items()))
     covers = covers.select("filing", F.col("form").alias("raw_form"), F.col("period_end"), F.col("fiscal_year").alias("raw_year"), *(T.clean_value(F.col(n)).alias(n) for n in _COVER if n != "period_end"))
+    missing = F.raise_error(F.concat(F.lit("no registrant name in "), F.col("filing")))
+    covers = covers.withColumn("registrant", F.when(F.coalesce("registrant", F.lit("")) != "", F.col("registrant")).otherwise(missing))
     stocks = common_stocks(fact_rows).groupBy("filing").agg(F.array_sort(F.collect_list(F.struct("seq", "symbol", "exchange", "title"))).alias("stocks"))  # a few classes a filing
     df = covers.join(stocks, "filing", "left").withColumn("stocks", F.coalesce("stocks", F.array().cast("array<struct<seq:int,symbol:string,exchange:string,title:string>>")))
     symbols = F.transform("stocks", lambda s: s["symbol"])
