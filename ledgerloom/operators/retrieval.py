@@ -39,26 +39,27 @@ def _vectors(df: DataFrame, vector: str, columns: dict[str, str | Column], block
     return own.withColumn(name, F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(blocks)).cast("int")).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1))))
 
 
-def vector_topk(questions: DataFrame, chunks: DataFrame, k: int, same: tuple[str, str] | None = None, by: str | None = None, group: int = GROUP, batch: int = BATCH) -> DataFrame:
+def vector_topk(questions: DataFrame, chunks: DataFrame, k: int, same: tuple[tuple[str, str], ...] = (), by: str | None = None, open_ended: bool = False, group: int = GROUP, batch: int = BATCH) -> DataFrame:
     """(question_id, key, distance, rank) by cosine distance from questions (question_id, q) and chunks (key, v).
 
     Both sides fall into blocks; a task holds one of each, so neither is sent whole to every task, and sends on the k
-    best of each question. `same` names a question's and a chunk's column that have to be equal; with `by`, a column of
-    chunks, k are found for each of its values, which comes along. Vectors that are null, hold null or a
+    best of each question. `same` names pairs of a question's and a chunk's column that have to be equal, where with `open_ended`
+    a question's null is no condition; with `by`, a column of chunks, k are found for each of its values, which comes along. Vectors that are null, hold null or a
     non-finite number, or have no length take no part, nor do pairs of different lengths; ties go to the smaller key.
     """
     groups, batches = max(1, -(-chunks.count() // group)), max(1, -(-questions.count() // batch))
     none = F.lit(None).cast("string")
     text = lambda c: F.col(c).cast("string")
-    left = _vectors(questions, "q", {"id": "question_id", "tag": text(same[0]) if same else none}, batches, 1, ("g", groups))
-    right = _vectors(chunks, "v", {"id": "key", "tag": text(same[1]) if same else none, "of": text(by) if by else none}, groups, 2, ("b", batches))
+    tag = lambda side: F.array(*(text(pair[side]) for pair in same)).cast("array<string>")
+    left = _vectors(questions, "q", {"id": "question_id", "tag": tag(0)}, batches, 1, ("g", groups))
+    right = _vectors(chunks, "v", {"id": "key", "tag": tag(1), "of": text(by) if by else none}, groups, 2, ("b", batches))
     schema = pa.schema([("question_id", pa.int64()), ("key", pa.int64()), ("of", pa.string()), ("distance", pa.float64())])
 
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
         if q.num_rows and c.num_rows:
             sizes = [np.asarray(pc.list_value_length(t["w"].combine_chunks())) for t in (q, c)]
-            tags = [np.array(t["tag"].to_pylist(), object) for t in (q, c)]
+            tags = [np.array([tuple(x) for x in t["tag"].to_pylist()] or [()], object).reshape(t.num_rows, len(same)) for t in (q, c)]
             of = np.array(c["of"].to_pylist(), object)
             for size in set(sizes[0].tolist()) & set(sizes[1].tolist()) - {0}:
                 at = [np.flatnonzero(s == size) for s in sizes]
@@ -72,7 +73,12 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int, same: tuple[str
                     with np.errstate(divide="ignore", invalid="ignore"):
                         far = 1 - (x[low : low + step] @ y.T) / (lengths[0][low : low + step, None] * lengths[1][None, :])
                     for n, row in enumerate(far):
-                        fits = np.isfinite(row) & ((tags[1][at[1]] == tags[0][at[0][low + n]]) if same else True)
+                        fits = np.isfinite(row)
+                        for column, wanted in enumerate(tags[0][at[0][low + n]]):
+                            if wanted is not None:
+                                fits &= tags[1][at[1], column] == wanted
+                            elif not open_ended:
+                                fits &= False
                         for part in parts:
                             own = part[fits[part]]
                             near = np.round(row[own], 9)
@@ -100,8 +106,8 @@ def lengths(chunks: DataFrame, key: str, text: str, split: Callable[[Column], Co
     return chunks.select(F.col(key).alias("key"), F.size(split(F.col(text))).cast("long").alias("length"))
 
 
-def bm25(questions: DataFrame, index: DataFrame, sizes: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(question_id, key, score, rank). questions (question_id, term). Statistics are of all chunks; `allowed` (key, and question_id if it depends on the question) filters afterwards."""
+def bm25(questions: DataFrame, index: DataFrame, sizes: DataFrame, k: int, allowed: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(question_id, key, score, rank). questions (question_id, term). Statistics are of all chunks; `allowed` (key, and question_id if it depends on the question) filters afterwards, as does `keep`."""
     total = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
     asked = questions.distinct()
     hits = index.join(F.broadcast(asked.select("term").distinct()), "term")  # terms of a bounded batch of questions
@@ -112,6 +118,8 @@ def bm25(questions: DataFrame, index: DataFrame, sizes: DataFrame, k: int, allow
     summed = scored.groupBy("question_id", "key").agg(F.round(F.sum(weight), 9).alias("score"))
     if allowed is not None:
         summed = summed.join(allowed, [c for c in ("question_id", "key") if c in allowed.columns], "left_semi")
+    if keep is not None:
+        summed = keep(summed)
     return top(summed, "question_id", [F.col("score").desc(), F.col("key")], k).select("question_id", "key", "score", "rank")
 
 

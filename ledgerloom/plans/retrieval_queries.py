@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.functions.stems import stemmed_words
+from ledgerloom.operators import asking as A
 from ledgerloom.operators import retrieval as R
 from ledgerloom.plans.registry import query
 from ledgerloom.storage import table
@@ -56,7 +57,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query("vector_topk_filtered", f"WITH {_SAME} SELECT question_id, key, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM same WHERE rank <= {TOP}")
 def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return R.vector_topk(*_vectors(spark, d), TOP, ("company", "label")).withColumn("distance", F.round("distance", 6))
+    return R.vector_topk(*_vectors(spark, d), TOP, (("company", "label"),)).withColumn("distance", F.round("distance", 6))
 
 
 @query("keyword_query_build", f"""SELECT conv_id, turn, nullif(array_to_string([('"' || w || '"') FOR w IN list_filter(t, lambda w, i: list_position(t, w) = i)], ' OR '), '') AS query
@@ -99,7 +100,7 @@ def bm25_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 def _lists(spark, d) -> list[DataFrame]:
     asked, chunks = _vectors(spark, d)
-    return [R.vector_topk(asked, chunks, R.DEPTH), _bm25(spark, d, R.DEPTH), R.vector_topk(asked, chunks, R.DEPTH, ("company", "label"))]
+    return [R.vector_topk(asked, chunks, R.DEPTH), _bm25(spark, d, R.DEPTH), R.vector_topk(asked, chunks, R.DEPTH, (("company", "label"),))]
 
 
 _KW = f"kw AS (SELECT question_id, key, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, key) AS rank FROM bm)"
@@ -222,3 +223,42 @@ def whole_word_route(spark: SparkSession, d: str) -> DataFrame:
     names = F.array_sort(F.array(*(F.lit(w) for w in ("tin", "steel", "copper", "brass", "nickel"))))
     found = F.filter(names, lambda w: F.regexp_like("p_type", F.concat(F.lit(r"(?i)\b"), w, F.lit(r"\b"))))
     return table(spark, d, "part").select("p_partkey", F.when(F.size(found) > 0, found).alias("routed"))
+
+
+_ASK = f"""ch AS (SELECT doc_id AS key, source AS filing, lang AS st, lang || ' ' || text AS text, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
+qs AS (SELECT item_id AS question_id, text, embedding, CASE item_id // {EVERY} % 4 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['src1'] WHEN 2 THEN ['src0', 'src2', 'src3'] ELSE ['src2', 'src4'] END AS filings, CASE WHEN item_id // {EVERY} % 3 = 1 THEN 'en' END AS st FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id % {EVERY} = 0),
+asks AS (SELECT question_id, text, embedding, st, greatest(len(filings), 1) AS n, unnest(CASE WHEN len(filings) = 0 THEN [NULL] ELSE filings END) AS filing, unnest(range(greatest(len(filings), 1))) AS place FROM qs),
+pairs AS (SELECT a.question_id, a.place, c.key, c.st = a.st AS boosted, {_DIST.replace('c.embedding', 'c.embedding').replace('q.embedding', 'a.embedding')} AS distance FROM asks a, ch c WHERE a.filing IS NULL OR a.filing = c.filing),
+sem AS (SELECT *, row_number() OVER (PARTITION BY question_id, place ORDER BY distance, key) AS rank FROM pairs), boost AS (SELECT *, row_number() OVER (PARTITION BY question_id, place ORDER BY distance, key) AS rank FROM pairs WHERE boosted),
+terms AS (SELECT DISTINCT question_id, w AS term FROM (SELECT question_id, unnest({_WORDS.format('text')}) AS w FROM qs) WHERE w NOT IN ({_STOP}) AND NOT regexp_full_match(w, '(19|20)[0-9][0-9]')),
+lens AS (SELECT key, len({_WORDS.format('text')}) AS length FROM ch), stats AS (SELECT count(*) AS n, avg(length) AS mean FROM lens),
+tf AS (SELECT term, key, count(*) AS tf FROM (SELECT key, unnest({_WORDS.format('text')}) AS term FROM ch) WHERE term IN (SELECT term FROM terms) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+bm AS (SELECT question_id, key, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score FROM tf JOIN df USING (term) JOIN lens USING (key) JOIN terms USING (term), stats GROUP BY ALL),
+kws AS (SELECT a.question_id, a.place, bm.key, row_number() OVER (PARTITION BY a.question_id, a.place ORDER BY score DESC, bm.key) AS rank FROM asks a JOIN bm USING (question_id) JOIN ch ON ch.key = bm.key WHERE a.filing IS NULL OR a.filing = ch.filing),
+u AS (SELECT question_id, place, key, max(rank) FILTER (l = 0) AS r0, max(rank) FILTER (l = 1) AS r1, max(rank) FILTER (l = 2) AS r2 FROM (SELECT question_id, place, key, rank, 0 AS l FROM sem WHERE rank <= {R.DEPTH} UNION ALL SELECT question_id, place, key, rank, 1 FROM kws WHERE rank <= {R.DEPTH} UNION ALL SELECT question_id, place, key, rank, 2 FROM boost WHERE rank <= {R.DEPTH}) GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (PARTITION BY question_id, place ORDER BY 0.0::DOUBLE + coalesce(1.0::DOUBLE / (60 + r0), 0.0) + coalesce(1.0::DOUBLE / (60 + r1), 0.0) + coalesce(1.0::DOUBLE / (60 + r2), 0.0) DESC, coalesce(r0, 1000000 + r1, 2000000 + r2)) AS rank FROM u),
+o AS (SELECT f.question_id, a.filing, f.key, f.rank, row_number() OVER (PARTITION BY f.question_id ORDER BY f.rank, f.place) AS result FROM f JOIN asks a USING (question_id, place) WHERE f.rank <= ceil({TOP} / a.n))"""
+
+
+def _ask(spark, d) -> tuple[DataFrame, DataFrame]:
+    v, docs, number = table(spark, d, "embeddings"), table(spark, d, "documents"), F.floor(F.col("item_id") / EVERY)
+    chunks = docs.join(v, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("key"), F.col("source").alias("filing"), F.col("lang").alias("statement_type"), F.col("lang").alias("heading"), F.col("text").alias("content"), F.col("embedding").alias("v"))
+    texts = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    filings = F.when(number % 4 == 0, texts()).when(number % 4 == 1, texts("src1")).when(number % 4 == 2, texts("src0", "src2", "src3")).otherwise(texts("src2", "src4"))
+    asked = table(spark, d, "benchmark").where(F.col("item_id") % EVERY == 0).join(v, F.col("item_id") == F.col("vec_id"))
+    return asked.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.col("embedding").alias("q"), filings.alias("filings"), F.when(number % 3 == 1, "en").alias("statement_type")), chunks
+
+
+@query("ask_retrieval", f"WITH {_ASK} SELECT question_id, CAST(result AS INTEGER) AS result, filing, key, CAST(rank AS INTEGER) AS rank FROM o WHERE result <= {TOP}")
+def ask_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """The results of every question, each with filters of its own: no company, one or several, with or without a statement."""
+    return A.retrieve(*_ask(spark, d), TOP).select("question_id", "result", "filing", "key", "rank")
+
+
+@query("ask_prompts", f"""WITH {_ASK}, p AS (SELECT o.question_id, sum(len({_WORDS.format("'--- Excerpt from ' || ch.filing || ', section ' || ch.st || ' --- ' || substr(ch.text, length(ch.st) + 2)")})) AS t, count(*) AS n FROM o JOIN ch USING (key) WHERE result <= 5 GROUP BY 1),
+z AS (SELECT q.question_id, coalesce(p.n, 0) AS excerpts, coalesce(p.t, 0) + 10 + 3 + len({_WORDS.format('q.text')}) AS tokens, {' OR '.join(f"contains(lower(q.text), '{w}')" for w in T.SYNTHESIS)} AS synthesis FROM qs q LEFT JOIN p USING (question_id))
+SELECT question_id, CAST(excerpts AS BIGINT) AS excerpts, CAST(tokens AS BIGINT) AS tokens, CASE WHEN synthesis THEN 'synthesis' ELSE 'lookup' END AS effort, CASE WHEN excerpts = 0 THEN 'no excerpts' WHEN tokens > 4000 THEN 'prompt too long' END AS refusal FROM z""")
+def ask_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """What would go to the model, counted in words, and the questions that are refused."""
+    found = A.ask(*_ask(spark, d), "Answer only from the excerpts. Name the filing.\nState units.", TOP, 5, 4000, count=lambda c: F.size(T.words(c)))
+    return found.select("question_id", F.col("excerpts").cast("long").alias("excerpts"), F.col("tokens").cast("long").alias("tokens"), "effort", "refusal")

@@ -36,7 +36,7 @@ def test_vectors_in_blocks(spark):
     held = spark.createDataFrame(chunks, "key long, label int, v array<double>")
     for how in ({}, {"group": 10, "batch": 4}):
         assert sorted(map(tuple, R.vector_topk(asked, held, 6, **how).collect())) == nearest(questions, chunks, 6)
-        assert sorted(map(tuple, R.vector_topk(asked, held, 6, same=("company", "label"), **how).collect())) == nearest(questions, chunks, 6, same=True)
+        assert sorted(map(tuple, R.vector_topk(asked, held, 6, same=(("company", "label"),), **how).collect())) == nearest(questions, chunks, 6, same=True)
         assert sorted(map(tuple, R.vector_topk(asked, held, 2, by="label", **how).collect())) == nearest(questions, chunks, 2, by=True)
     assert R.vector_topk(asked.limit(0), held, 6).count() == R.vector_topk(asked, held.limit(0), 6).count() == 0
 
