@@ -112,16 +112,32 @@ def parse(html: str) -> dict:
     return page.rows()
 
 
-def read(pages: DataFrame, filing: str = "filing", html: str = "html") -> DataFrame:
-    """(filing, contexts, units, facts), arrays in page order; a page without inline XBRL raises, null pages are left out."""
+#: Pages that a task turns into rows at a time.
+_PAGES = 16
+
+
+def read(pages: DataFrame, filing: str = "filing", html: str = "html", strict: bool = True) -> DataFrame:
+    """(filing, contexts, units, facts), arrays in page order; null pages are left out.
+
+    A page that is damaged or without inline XBRL raises or, unless `strict`, is a row without arrays whose `error`, a further column, says why.
+    """
     texts = "array<struct<id:string,instant:string,start:string,end:string,dimensions:array<struct<axis:string,member:string,typed_value:string>>>>"
-    schema = f"filing string, contexts {texts}, units array<struct<id:string,numerators:array<string>,denominators:array<string>>>, facts array<struct<{', '.join(':'.join(c.split()) for c in _FACT.split(', '))}>>"
+    schema = f"filing string, contexts {texts}, units array<struct<id:string,numerators:array<string>,denominators:array<string>>>, facts array<struct<{', '.join(':'.join(c.split()) for c in _FACT.split(', '))}>>" + ("" if strict else ", error string")
     arrow = None
 
+    def parsed(name: str | None, page: str) -> dict:
+        try:
+            return {"filing": name} | parse(page)
+        except ValueError as why:
+            if strict:
+                raise
+            return {"filing": name, "error": str(why)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [{"filing": f} | parse(h) for f, h in zip(batch.column("filing").to_pylist(), batch.column("html").to_pylist(), strict=True)]
-            if rows:
+        for whole in batches:
+            for low in range(0, whole.num_rows, _PAGES):
+                batch = whole.slice(low, _PAGES)
+                rows = [parsed(f, h) for f, h in zip(batch.column("filing").to_pylist(), batch.column("html").to_pylist(), strict=True)]
                 yield from pa.Table.from_pylist(rows, schema=arrow).to_batches()
 
     plain = pages.select(F.col(filing).cast("string").alias("filing"), F.col(html).alias("html")).where("html is not null")
