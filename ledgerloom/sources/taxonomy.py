@@ -64,6 +64,20 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return found
 
 
+def filing_taxonomies(rows: DataFrame, pages: DataFrame, filing: str = "filing", html: str = "html") -> DataFrame:
+    """(filing, schema, file): the schema whose target namespace a page's root declares, the first by name of several, and each file that it is made of.
+
+    A namespace says which, as saved pages may have lost their reference to the schema. Pages that declare none of a schema's have no row.
+    """
+    root = F.regexp_extract(html, r"(?is)<html\b[^>]*>", 0)
+    declared = F.regexp_extract_all(root, F.lit(r"""(?i)\sxmlns:[\w.-]+\s*=\s*["']([^"']*)["']"""), F.lit(1))
+    named = pages.select(F.col(filing).alias("filing"), F.explode(F.array_distinct(declared)).alias("target"))
+    schemas = rows.where((F.col("kind") == "namespace") & F.lower("file").endswith(".xsd")).select("target", F.col("file").alias("schema"))
+    own = named.join(schemas, "target").groupBy("filing").agg(F.min("schema").alias("schema"))
+    parts = rows.where("kind = 'linkbase'").select(F.col("file").alias("schema"), F.col("target").alias("file"))
+    return own.select("filing", "schema", F.col("schema").alias("file")).union(own.join(parts, "schema").select("filing", "schema", "file")).distinct()
+
+
 def roles(rows: DataFrame) -> DataFrame:
     """(file, uri, sort_code, type, title)."""
     named = rows.where("kind = 'role'").select("file", F.col("role").alias("uri"), T.role_definition(F.col("text")).alias("d"))
