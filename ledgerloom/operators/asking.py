@@ -44,7 +44,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int, depth: int = R.DEP
     filters = asked.select(F.col("ask").alias("question_id"), "filing")
     held = chunks.select("key", F.col("filing").alias("of"))
     keep = lambda scored: scored.join(filters, "question_id").join(held, "key").where("filing is null or filing = of")
-    keyword = R.bm25(terms, R.postings(bodies, "key", "body", split), R.lengths(bodies, "key", "body", split), depth, keep=keep)
+    keyword = R.bm25(terms, R.postings(bodies, "key", "body", split, terms), R.lengths(bodies, "key", "body", split), depth, keep=keep)
     fused = R.fuse([x.select("question_id", "key", "rank") for x in (semantic, keyword, boost)], k).withColumnRenamed("question_id", "ask")
     own = fused.join(asked.select("ask", "question_id", "place", "filing", "n"), "ask").where(F.col("rank") <= F.ceil(F.lit(k) / F.col("n")))
     return R.top(own, "question_id", [F.col("rank"), F.col("place")], k, "result").select("question_id", "result", "filing", "place", "key", "rank")

@@ -72,3 +72,21 @@ def test_tags(spark, filings, want):
     df = spark.createDataFrame([("figure", ["30"], ["10", "20"], None, filings, None, "")], "k string, e array<string>, i array<string>, t array<string>, f array<string>, s string, v string")
     tags = df.select(E.question_tags(*map(F.col, df.columns))).first()[0]
     assert tags == ["kind:figure", "calculation", *want, "statement:none"]
+
+
+def test_texts_are_split_once_for_postings_and_once_for_lengths(spark):
+    read, rows = spark.sparkContext.accumulator(0), [(1, "Clay kilns, clay."), (2, "Glass"), (3, "clay glass glass and more"), (4, None), (5, ""), (2, "clay")]
+
+    def counted(row):
+        read.add(1)
+        return row
+
+    chunks = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(counted), "k long, text string")
+    terms = spark.createDataFrame([(7, "clay"), (7, "glass"), (8, "kilns"), (9, "none")], "question_id long, term string")
+    index = R.postings(chunks, "k", "text", only=terms)
+    got = [(r["question_id"], r["key"], r["rank"]) for r in R.bm25(terms, index, R.lengths(chunks, "k", "text"), 5).collect()]
+    assert read.value == 2 * len(rows)
+    plain = spark.createDataFrame(rows, "k long, text string")
+    whole = [(r["question_id"], r["key"], r["rank"]) for r in R.bm25(terms, R.postings(plain, "k", "text"), R.lengths(plain, "k", "text"), 5).collect()]
+    assert sorted(got) == sorted(whole) and {g[0] for g in got} == {7, 8}
+    assert {r["term"] for r in index.collect()} == {"clay", "glass", "kilns"}
