@@ -50,6 +50,30 @@ def test_statuses(tables):
     }
 
 
+def test_excerpts_are_read_once(spark, tables):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        read.add(1)
+        return row
+
+    excerpts = spark.createDataFrame(spark.sparkContext.parallelize(TEXTS, 2).map(counted), EXCERPT)
+    got = sorted((r["id"], r["place"], r["figure"], r["positions"], r["rounds"]) for r in G.trace(tables[0], excerpts).collect())
+    assert read.value == len(TEXTS)
+    assert ("rounds", 1, "9.13", [3], "9,127,167") in got and ("traced", 1, "26,445", [2], None) in got and ("sum", 0, "30", None, None) in got
+    assert {r[0] for r in got}.isdisjoint({"none", "asked", "empty", None})
+
+
+def test_roundings_of_one_answer(spark):
+    answers = spark.createDataFrame([("a", "1,250 and 1,349 are 1.3 million, 0.0 billion, 1.25 million, 9 million.", None), ("b", "1.3 million", None), ("c", "Of 7 and 7.", None)], "id string, answer string, question string")
+    excerpts = spark.createDataFrame([("a", 2, "1,250"), ("a", 1, "1,349\n1,250"), ("a", 1, "1,250"), ("b", 1, "1,250"), ("c", None, "7")], EXCERPT)
+    got = {(r["id"], r["figure"]): (r["place"], r["positions"], r["rounds"]) for r in G.trace(answers, excerpts).collect()}
+    assert got == {
+        ("a", "1,250"): (0, [1, 2], None), ("a", "1,349"): (1, [1], None), ("a", "1.3"): (2, [1, 2], "1,250"), ("a", "0.0"): (3, None, None),
+        ("a", "1.25"): (4, [1, 2], "1,250"), ("a", "9"): (5, None, None), ("b", "1.3"): (0, None, None), ("c", "7"): (0, [], None),
+    }
+
+
 def test_lines_of_sightings(tables):
     answers, excerpts = tables
     got = {(r["id"], r["figure"]): (r["position"], r["line"], r["more"]) for r in G.sightings(G.figures(answers), excerpts).collect()}
