@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import cells as C
 from ledgerloom.plans.registry import query
-from ledgerloom.storage import table
+from ledgerloom.storage import cut, table
 
 # Row places: 100 a flag; its label at 0, line k at 10 k, a subtotal at 45, the total at 90, all lines so far at 95.
 _LINES = """l AS (SELECT l_suppkey AS tab, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS f, l_linenumber AS k,
@@ -30,6 +30,7 @@ def _printed(spark: SparkSession, d: str) -> DataFrame:
     flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     lines = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("tab"), flag.alias("f"), F.col("l_linenumber").alias("k")).agg(F.sum(cents).alias("cents"), F.count(F.lit(1)).alias("n"))
+    lines = cut(lines, "lines")  # all rows of the tables come from these sums
     half = lambda c: F.sum(F.when(F.col("k") <= 4, F.col(c))).alias(f"half_{c}")
     sums = lines.groupBy("tab", "f").agg(F.sum("cents").alias("cents"), F.sum("n").alias("n"), half("cents"), half("n"))
     so_far = sums.select("tab", F.explode(F.sequence("f", F.lit(2))).alias("f"), "cents", "n").groupBy("tab", "f").agg(F.sum("cents").alias("cents"), F.sum("n").alias("n")).join(sums.select("tab", "f"), ["tab", "f"], "left_semi")
@@ -52,7 +53,7 @@ def _printed(spark: SparkSession, d: str) -> DataFrame:
     out = rows[0]
     for more in rows[1:]:
         out = out.unionByName(more)
-    return out.select("tab", "place", "kind", "label", "indent", F.floor((F.col("cents") + 50000) / 100000).alias("q"), "n")
+    return cut(out.select("tab", "place", "kind", "label", "indent", F.floor((F.col("cents") + 50000) / 100000).alias("q"), "n"), "printed")
 
 
 #: Walks every table row by row, with the state that a reader would keep.
