@@ -360,8 +360,11 @@ def near_texts(
         return found
 
     # What the search by fingerprints finds and the exact check confirms; all that follows looks only between these groups.
-    met_by_print = told(fingerprint_pairs(nodes.select("id", "fp")), nodes.select("id", "n", *sketch)).where(alike & possible).select("a", "b")
+    # Written between the steps, here and below: while a query runs its whole plan is planned anew after every exchange, in the driver.
+    alike_prints = shelf.cut(fingerprint_pairs(nodes.select("id", "fp")), "alike-prints")
+    met_by_print = told(alike_prints, nodes.select("id", "n", *sketch)).where(alike & possible).select("a", "b")
     met_by_print = shelf.cut(met_by_print, "fingerprint-pairs")
+    shelf.drop("alike-prints")
     by_print = linked(met_by_print)
     groups = shelf.cut(components(by_print), "fingerprint-groups").select(F.col("node").alias("id"), F.col("component").alias("g"))
     entry = ["id", "n", "prefix"]
@@ -382,10 +385,13 @@ def near_texts(
     loose = together.agg(F.count(F.lit(1)).alias("common"), F.max("a_n").alias("a_n"), F.max("b_n").alias("b_n"), F.max(ahead).alias("ahead")).where("ahead")
     rest = F.ceil(F.greatest("a_n", "b_n") * similarity - 1e-9) - 1
     shares = (F.col("common") + F.least("a_places", "b_places") + rest) * (1 + similarity) >= needed
-    held = pairs(crowded, first, [], F.lit(True))
-    facts = nodes.join(crowd.select("id", "places"), "id", "left").select("id", F.coalesce("places", F.lit(0)).alias("places"), *sketch)
-    found = told(loose.drop("ahead"), facts).where(shares & possible).select("a", "b").union(told(held, facts).where(possible).select("a", "b"))
+    loose = shelf.cut(loose.select("a", "b", "a_n", "b_n", "common"), "loose")
+    held = shelf.cut(pairs(crowded, first, [], F.lit(True)), "held")
+    facts = shelf.cut(nodes.join(crowd.select("id", "places"), "id", "left").select("id", F.coalesce("places", F.lit(0)).alias("places"), *sketch), "facts")
+    either = loose.unionByName(held.withColumn("common", F.lit(None).cast("long")))  # pairs with a pivot are not counted
+    found = told(either, facts).where(F.coalesce(shares, F.lit(True)) & possible).select("a", "b")
     found = shelf.cut(found.distinct().join(met_by_print, ["a", "b"], "left_anti"), "candidates")
+    shelf.drop("loose", "held", "facts")
     joined = by_print.union(linked(found))
     groups = shelf.cut(components(joined), "groups")
     # What the pivots left apart: nodes of large buckets in another group than the first pivot's.
