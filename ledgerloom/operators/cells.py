@@ -2,7 +2,8 @@
 
 A cell is a row (table, row, start, end, text, indent): the columns start to end (inclusive) that its text stands
 over, and how far in the text begins. All steps are windows and equi joins by table; what is held at once is the header of
-one table, never its rows.
+one table, never its rows. Every side of a join grows with the tables, and the planner sees only the files that it was written
+to, many times smaller than their rows; so sides are merged, not broadcast, and no rows pass through the driver.
 
 `pieces` joins `$ ( ) %` to the number beside them. `label_extent` finds where the labels of a table end.
 `described` tells label, header and data rows apart. `leaves` are the columns that a header block stands for,
@@ -103,7 +104,7 @@ def described(labels: DataFrame, values: DataFrame) -> DataFrame:
     """
     label = labels.groupBy("table", "row").agg(_joined("start", "text").alias("label"), F.min(F.struct("start", "indent", "text")).alias("x"))
     value = values.groupBy("table", "row").agg(F.bool_or("number").alias("data"), F.min(F.struct("start", "text")).alias("v"))
-    rows = label.join(value, ["table", "row"], "full_outer").select(
+    rows = label.join(value.hint("merge"), ["table", "row"], "full_outer").select(
         "table", "row", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("x.indent", F.lit(0.0)).alias("indent"), F.coalesce("x.text", "v.text").alias("first"),
         F.when(F.col("data").isNull(), "label").when(F.col("data"), "data").otherwise("header").alias("shape"),
     )
@@ -143,16 +144,16 @@ def leaves(header: DataFrame, captions: DataFrame) -> DataFrame:
     lowest = under.where("_lower = 0").withColumns({"leaf": F.row_number().over(order) - 1, "clash": F.col("start") <= F.lag("end").over(order)})
     edges = lowest.groupBy("table", "block").agg(F.min("end").alias("_first"), F.max("start").alias("_last"), F.max(F.coalesce("clash", F.lit(False))).alias("clash"))
     wide = (F.col("start") <= F.col("_first")) & (F.col("end") >= F.col("_last")) & F.col("spans")
-    placed = spans.join(edges, ["table", "block"]).withColumn("wide", wide)
+    placed = spans.join(edges.hint("merge"), ["table", "block"]).withColumn("wide", wide)
     said = placed.where("wide").groupBy("table", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "start", "text"))), lambda x: x["text"]).alias("over"))
     # Each leaf's stack: itself, narrower cells of its columns that lie above it, and what spans it.
     own = lowest.select("table", "block", "leaf", "cell", F.col("start").alias("leaf_start"), F.col("end").alias("leaf_end"), F.explode(F.sequence("start", "end")).alias("column"))
     others = placed.where("not wide").select("table", "block", F.col("cell").alias("other"), F.explode(F.sequence("start", "end")).alias("column"), "row", "text", "spans", (F.col("start") - F.col("end")).alias("narrow"))
-    stacked = own.join(others, ["table", "block", "column"]).where((F.col("other") == F.col("cell")) | F.col("spans") | (F.col("row") < F.col("cell.row")))
+    stacked = own.join(others.hint("merge"), ["table", "block", "column"]).where((F.col("other") == F.col("cell")) | F.col("spans") | (F.col("row") < F.col("cell.row")))
     parts = F.transform(F.array_sort(F.collect_set(F.struct("narrow", "row", "other", "text"))), lambda x: x["text"])
     found = stacked.groupBy("table", "block", "leaf", F.col("leaf_start").alias("start"), F.col("leaf_end").alias("end")).agg(parts.alias("parts"))
     none = F.array().cast("array<string>")
-    found = found.join(said, ["table", "block"], "left").join(captions, ["table", "block"], "left").join(edges.select("table", "block", "clash"), ["table", "block"])
+    found = found.join(said.hint("merge"), ["table", "block"], "left").join(captions.hint("merge"), ["table", "block"], "left").join(edges.select("table", "block", "clash").hint("merge"), ["table", "block"])
     whole = F.array_distinct(F.concat(F.coalesce("caption", none), F.coalesce("over", none), "parts"))
     return found.select("table", "block", "leaf", "start", "end", whole.alias("parts"), F.when(F.col("clash"), "overlapping column headers").alias("problem"))
 
@@ -165,7 +166,7 @@ def nearest_columns(values: DataFrame, columns: DataFrame) -> DataFrame:
     travel as one array: a value is compared with those of its own header only.
     """
     known = columns.groupBy("table", "block").agg(F.sort_array(F.collect_list(F.struct("start", "end", "leaf"))).alias("_c"))
-    own = values.join(known, ["table", "block"], "left")
+    own = values.join(known.hint("merge"), ["table", "block"], "left")
     start, end = F.col("start"), F.col("end")
     apart = lambda c: F.when((c["start"] <= end) & (start <= c["end"]), 0).otherwise(F.least(F.abs(c["start"] - end), F.abs(start - c["end"])))
     ranked = F.transform("_c", lambda c: F.struct(apart(c).alias("distance"), c["start"].alias("start"), c["leaf"].alias("leaf")))
@@ -204,19 +205,19 @@ def grouped(rows: DataFrame, amounts: DataFrame, most: int = 200) -> DataFrame:
     marks = marks.withColumns({"group": F.col("_group.label"), "group_indent": F.col("_group.indent"), "_total": is_total(F.col("first"))})
     # Whether a later row of the table is a total that names the group in force: names of groups are few, so those of totals meet them by table.
     names = marks.where("kind = 'group'").select("table", F.col("label").alias("group")).distinct()
-    last_named = marks.where("_total").select("table", F.col("row").alias("_at"), "first").join(names, "table").where(names_group(F.col("first"), F.col("group"))).groupBy("table", "group").agg(F.max("_at").alias("_named"))
-    data = marks.where("kind = 'data'").join(last_named, ["table", "group"], "left")
+    last_named = marks.where("_total").select("table", F.col("row").alias("_at"), "first").join(names.hint("merge"), "table").where(names_group(F.col("first"), F.col("group"))).groupBy("table", "group").agg(F.max("_at").alias("_named"))
+    data = marks.where("kind = 'data'").join(last_named.hint("merge"), ["table", "group"], "left")
     segment = Window.partitionBy("table", "segment").orderBy("row")
     prior = segment.rowsBetween(Window.unboundedPreceding, -1)
     data = data.withColumns({"_rows": F.count(F.lit(1)).over(prior), "_shallow": F.min("indent").over(prior), "_later": F.coalesce(F.col("_named") > F.col("row"), F.lit(False))})
     data = data.select("table", "row", "segment", "era", "period", "label", "group", "indent", "group_indent", "_rows", "_shallow", "_later")
     named = is_total(F.col("label"))
     column = Window.partitionBy("table", "segment", "key").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    facts = data.select("table", "row", "segment", "era", F.col("label").alias("_label")).join(amounts, ["table", "row"], "left")
+    facts = data.select("table", "row", "segment", "era", F.col("label").alias("_label")).join(amounts.hint("merge"), ["table", "row"], "left")
     facts = facts.withColumns({"own": F.sum("value").over(column).cast("decimal(38,9)"), "own_n": F.count("value").over(column)})
     facts = shelf.cut(facts, "facts")
     row = facts.groupBy("table", "row").agg(F.count("value").alias("_amounts"), F.bool_and(_adds_up(F.col("value"), F.col("unit"), F.col("own"), F.col("own_n")) | F.col("value").isNull()).alias("_of_group"))
-    data = shelf.cut(data.join(row, ["table", "row"]), "data")
+    data = shelf.cut(data.join(row.hint("merge"), ["table", "row"]), "data")
     least = F.when(named, 1).otherwise(UNNAMED_AMOUNTS)
     in_group = F.col("group").isNotNull()
     total = F.when(in_group, ~F.col("_later") & (named | ((F.col("_rows") >= 2) & (F.col("_amounts") >= UNNAMED_AMOUNTS) & F.col("_of_group")))).otherwise(named)
@@ -225,7 +226,7 @@ def grouped(rows: DataFrame, amounts: DataFrame, most: int = 200) -> DataFrame:
     running = F.lit(False)
     ends, state = None, None
     for turn in range(most):
-        known = data if ends is None else data.join(ends.select("table", "row", "_running"), ["table", "row"], "left")
+        known = data if ends is None else data.join(ends.select("table", "row", "_running").hint("merge"), ["table", "row"], "left")
         running = F.lit(False) if ends is None else F.coalesce("_running", F.lit(False))
         event = F.when(running, "running").when(total, "total").when(outdented, "outdented")
         found = known.withColumn("_event", F.when(in_group, event))
@@ -242,10 +243,10 @@ def grouped(rows: DataFrame, amounts: DataFrame, most: int = 200) -> DataFrame:
         era = Window.partitionBy("table", "era", "key").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
         rows_before = Window.partitionBy("table", "era").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
         counted = found.withColumn("_all_rows", F.count_if(F.col("ends").isNull()).over(rows_before)).select("table", "row", "ends", "_all_rows")
-        sums = facts.join(counted, ["table", "row"]).withColumns({"_sum": F.sum(F.when(F.col("ends").isNull(), F.col("value"))).over(era).cast("decimal(38,9)"), "_n": F.count(F.when(F.col("ends").isNull(), F.col("value"))).over(era)})
+        sums = facts.join(counted.hint("merge"), ["table", "row"]).withColumns({"_sum": F.sum(F.when(F.col("ends").isNull(), F.col("value"))).over(era).cast("decimal(38,9)"), "_n": F.count(F.when(F.col("ends").isNull(), F.col("value"))).over(era)})
         of_all = F.bool_and(_adds_up(F.col("value"), F.col("unit"), F.col("_sum"), F.col("_n")) | F.col("value").isNull())
         every = sums.groupBy("table", "row").agg(of_all.alias("_of_all"), F.max("_all_rows").alias("_all_rows"))
-        tested = data.join(every, ["table", "row"])
+        tested = data.join(every.hint("merge"), ["table", "row"])
         is_running = in_group & (F.col("_all_rows") > F.col("_rows")) & (F.col("_amounts") >= least) & F.col("_of_all") & ~F.col("_of_group")
         shelf.drop(f"running-{turn - 1}")
         ends = shelf.cut(tested.select("table", "row", is_running.alias("_running")).where("_running"), f"running-{turn}")
@@ -279,13 +280,13 @@ def lines(cells: DataFrame) -> DataFrame:
     shelf = Shelf(cells.sparkSession)
     own = shelf.cut(cells.where("text <> ''"), "cells")
     extent = shelf.cut(label_extent(own), "extent")
-    known = own.join(extent, "table")
+    known = own.join(extent.hint("merge"), "table")
     split = F.col("start") > F.col("label_end")
     value_cells = known.where(split)
     values = shelf.cut(pieces(value_cells), "pieces")
     rows = shelf.cut(described(known.where(~split), values), "rows")
     blocks = rows.where("kind = 'header'").select("table", "row", "block")
-    heads = shelf.cut(value_cells.join(blocks, ["table", "row"]).select("table", "block", "row", "start", "end", "text"), "heads")
+    heads = shelf.cut(value_cells.join(blocks.hint("merge"), ["table", "row"]).select("table", "block", "row", "start", "end", "text"), "heads")
     # Units: a label row's, else those among the header cells, the uppermost.
     by_row = rows.where("units_row").select("table", F.struct(F.lit(0).alias("k"), "row", F.lit(0).alias("start"), F.col("label").alias("text")).alias("u"))
     by_cell = heads.where(F.col("text").rlike(UNITS)).select("table", F.struct(F.lit(1).alias("k"), "row", "start", "text").alias("u"))
@@ -294,11 +295,11 @@ def lines(cells: DataFrame) -> DataFrame:
     above = rows.where("kind = 'caption'").groupBy("table").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "label"))), lambda x: x["label"]).alias("above"))
     beside = rows.where("kind = 'header' and label <> '' and not units_row").groupBy("table", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "label"))), lambda x: x["label"]).alias("beside"))
     none = F.array().cast("array<string>")
-    captions = rows.select("table", "block").distinct().join(above, "table", "left").join(beside, ["table", "block"], "left").select("table", "block", F.concat(F.coalesce("above", none), F.coalesce("beside", none)).alias("caption"))
+    captions = rows.select("table", "block").distinct().join(above.hint("merge"), "table", "left").join(beside.hint("merge"), ["table", "block"], "left").select("table", "block", F.concat(F.coalesce("above", none), F.coalesce("beside", none)).alias("caption"))
     columns = shelf.cut(leaves(heads.where(~F.col("text").rlike(UNITS)), captions), "columns")
     data = rows.where("kind = 'data'").select("table", "row", "block")
-    placed = nearest_columns(values.join(data, ["table", "row"]), columns).join(columns.select("table", "block", "leaf", "parts"), ["table", "block", "leaf"], "left")
-    placed = placed.join(captions, ["table", "block"], "left").withColumn("_alone", F.count(F.lit(1)).over(Window.partitionBy("table", "row")))
+    placed = nearest_columns(values.join(data.hint("merge"), ["table", "row"]), columns).join(columns.select("table", "block", "leaf", "parts").hint("merge"), ["table", "block", "leaf"], "left")
+    placed = placed.join(captions.hint("merge"), ["table", "block"], "left").withColumn("_alone", F.count(F.lit(1)).over(Window.partitionBy("table", "row")))
     column = F.when(F.col("leaf").isNotNull(), F.array_join("parts", " ")).otherwise(F.array_join("caption", " "))
     problem = F.coalesce("problem", F.when(F.col("leaf").isNull() & (F.col("_alone") > 1), "several values in a row without column headers"))
     key = F.concat_ws(":", F.col("block"), F.coalesce("leaf", F.lit(-1)), F.when(F.col("again"), F.col("start")))
@@ -312,25 +313,25 @@ def lines(cells: DataFrame) -> DataFrame:
     runs = runs.withColumn("run", F.sum("_new").over(along)).groupBy("table", "row", "run").agg(F.first("column").alias("column"), _joined("start", "text", " / ").alias("texts"))
     said = runs.withColumn("part", F.when(F.col("column") == "", F.col("texts")).otherwise(F.concat_ws(": ", "column", "texts"))).groupBy("table", "row").agg(_joined("run", "part", " | ").alias("said"))
     path = F.concat_ws(" > ", "period", F.rtrim("grp", F.lit(":")), F.nullif("label", F.lit("")))
-    body = rows.where("kind = 'data'").join(said, ["table", "row"]).join(groups, ["table", "row"]).select("table", F.col("row").alias("at"), F.when(path == "", F.col("said")).otherwise(F.concat_ws(" — ", path, "said")).alias("line"))
+    body = rows.where("kind = 'data'").join(said.hint("merge"), ["table", "row"]).join(groups.hint("merge"), ["table", "row"]).select("table", F.col("row").alias("at"), F.when(path == "", F.col("said")).otherwise(F.concat_ws(" — ", path, "said")).alias("line"))
     titles = rows.where("kind in ('group', 'period')").select("table", F.col("row").alias("at"), F.col("label").alias("line"))
     text_row = own.groupBy("table", "row").agg(_text_row().alias("line")).select("table", F.col("row").alias("at"), "line")
     # Header rows that no data row follows are no header.
     loose = rows.where("kind = 'header' and not followed").select("table", F.col("row").alias("at"))
-    tail = text_row.join(loose, ["table", "at"], "left_semi").join(rows.groupBy("table").agg(F.max("row").alias("_last")), "table").select("table", (F.col("at") + F.col("_last") + 1).alias("at"), "line")
+    tail = text_row.join(loose.hint("merge"), ["table", "at"], "left_semi").join(rows.groupBy("table").agg(F.max("row").alias("_last")).hint("merge"), "table").select("table", (F.col("at") + F.col("_last") + 1).alias("at"), "line")
     opening = units.select("table", F.lit(-1).alias("at"), F.col("units").alias("line"))
     read = opening.union(body).union(titles).union(tail)
     # A header's text that no value's column says would be lost, as would a caption without values.
-    told = placed.select("table", "block", "leaf").distinct().join(columns, ["table", "block", "leaf"]).select("table", F.explode("parts").alias("text"))
-    told = told.union(placed.where("leaf is null").join(captions, ["table", "block"]).select("table", F.explode("caption").alias("text"))).union(units.select("table", F.col("units").alias("text"))).distinct()
+    told = placed.select("table", "block", "leaf").distinct().join(columns.hint("merge"), ["table", "block", "leaf"]).select("table", F.explode("parts").alias("text"))
+    told = told.union(placed.where("leaf is null").join(captions.hint("merge"), ["table", "block"]).select("table", F.explode("caption").alias("text"))).union(units.select("table", F.col("units").alias("text"))).distinct()
     shown = rows.where("kind = 'header' and followed").select("table", "row")
-    must = heads.join(shown, ["table", "row"], "left_semi").select("table", "text").union(rows.where("kind = 'caption' or (kind = 'header' and followed and label <> '')").select("table", F.col("label").alias("text")))
-    lost = must.join(told, ["table", "text"], "left_anti").select("table", F.concat(F.lit("lost: "), F.substring("text", 1, 60)).alias("problem"))
+    must = heads.join(shown.hint("merge"), ["table", "row"], "left_semi").select("table", "text").union(rows.where("kind = 'caption' or (kind = 'header' and followed and label <> '')").select("table", F.col("label").alias("text")))
+    lost = must.join(told.hint("merge"), ["table", "text"], "left_anti").select("table", F.concat(F.lit("lost: "), F.substring("text", 1, 60)).alias("problem"))
     problems = placed.select("table", "problem").union(columns.select("table", "problem")).where("problem is not null").union(lost).groupBy("table").agg(F.min("problem").alias("fallback"))
     problems = shelf.cut(problems, "problems")
-    good = read.join(problems, "table", "left_anti").select("table", "at", "line", F.lit(None).cast("string").alias("fallback"))
-    plain = text_row.join(problems, "table").select("table", "at", "line", "fallback")
-    no_values = text_row.join(extent, "table", "left_anti").select("table", "at", "line", F.lit("no row of values").alias("fallback"))
+    good = read.join(problems.hint("merge"), "table", "left_anti").select("table", "at", "line", F.lit(None).cast("string").alias("fallback"))
+    plain = text_row.join(problems.hint("merge"), "table").select("table", "at", "line", "fallback")
+    no_values = text_row.join(extent.hint("merge"), "table", "left_anti").select("table", "at", "line", F.lit("no row of values").alias("fallback"))
     out = shelf.cut(good.union(plain).union(no_values), "lines")
     shelf.paths.pop("lines")
     shelf.clear()

@@ -33,7 +33,7 @@ def _printed(spark: SparkSession, d: str) -> DataFrame:
     lines = cut(lines, "lines")  # all rows of the tables come from these sums
     half = lambda c: F.sum(F.when(F.col("k") <= 4, F.col(c))).alias(f"half_{c}")
     sums = lines.groupBy("tab", "f").agg(F.sum("cents").alias("cents"), F.sum("n").alias("n"), half("cents"), half("n"))
-    so_far = sums.select("tab", F.explode(F.sequence("f", F.lit(2))).alias("f"), "cents", "n").groupBy("tab", "f").agg(F.sum("cents").alias("cents"), F.sum("n").alias("n")).join(sums.select("tab", "f"), ["tab", "f"], "left_semi")
+    so_far = sums.select("tab", F.explode(F.sequence("f", F.lit(2))).alias("f"), "cents", "n").groupBy("tab", "f").agg(F.sum("cents").alias("cents"), F.sum("n").alias("n")).join(sums.select("tab", "f").hint("merge"), ["tab", "f"], "left_semi")
     place = F.col("f") * 100
     none = F.lit(None).cast("long")
     put = lambda df, at, kind, label, indent, q, n: df.select("tab", at.cast("int").alias("place"), F.lit(kind).alias("kind"), label.alias("label"), indent.alias("indent"), q.alias("cents"), n.alias("n"))
